@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": langid.op10_language_id,
 }
-SQL: dict[str, str] = {"op10_language_id": langid.sql()}
+SQL: dict[str, str] = {"op9_quality_rules": rules.sql(), "op10_language_id": langid.sql()}

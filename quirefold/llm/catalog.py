@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, rules
+from . import gam, langid, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": gam.op1_quality_classifier,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": langid.op10_language_id,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arcwarc, bpe, classlm, gam, langid, nearjoin, packing, rules, tokenbits
+from . import arcwarc, bpe, classlm, gam, hnsw, langid, nearjoin, packing, rules, tokenbits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": gam.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_bits": tokenbits.op4_token_bits,
     "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_hnsw": hnsw.op7_hnsw,
     "op8_class_lm": classlm.op8_class_lm,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": langid.op10_language_id,

@@ -115,7 +115,7 @@ def bigrams(texts: DataFrame, known: np.ndarray) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 own, other, count = own[order], other[order].astype(np.int32), n[order].astype(np.int32)
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-                last = np.append(first[1:], len(own))
+                last = np.append(first[1:], len(own)) if len(own) else first
                 rows = [(other[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(own[first], pa.int32()), pa.array([side] * len(first), pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["w", "side", "ids", "n"])
 

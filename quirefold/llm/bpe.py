@@ -35,7 +35,7 @@ from .store import publish
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words in the lexicon; those that occur once are never in it.
 LEXICON = 65_536
-_LONG, _CACHE = 48, 400_000
+_LONG, _CACHE = 48, 131_072
 _NONE = np.int32(0x7FFFFFFF)
 
 
@@ -423,7 +423,7 @@ def frequent(df: DataFrame, text: str = "text", most: int = LEXICON) -> list[byt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
-        for b in batches:
+        for b in K.slices(batches):
             texts = K.strings(b.column(0))
             for c in K.chunks(texts):
                 first, whole = pieces(c), "".join(texts[c.rows])
@@ -475,7 +475,7 @@ def decode(df: DataFrame, name: str, ids: str = "token_ids") -> DataFrame:
     at = kept.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             texts = [None if x is None else opened(name).decode(np.array(x, np.int64)).decode(errors="replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 

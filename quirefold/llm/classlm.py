@@ -74,7 +74,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
         give = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held.take()], names=["hash", "n"])
-        for b in batches:
+        for b in K.slices(batches):
             for c in K.chunks(K.strings(b.column(0))):
                 held.add(K.words(c).hash.view(np.int64))
             if held.full():
@@ -119,7 +119,7 @@ def bigrams(texts: DataFrame, known: np.ndarray) -> DataFrame:
                 rows = [(other[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(own[first], pa.int32()), pa.array([side] * len(first), pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["w", "side", "ids", "n"])
 
-        for b in batches:
+        for b in K.slices(batches):
             for c in K.chunks(K.strings(b.column(0))):
                 ids, off = word_ids(c, known)
                 held.add(before(ids, off, span - 1) * span + ids)
@@ -182,7 +182,7 @@ def class_counts(pairs: DataFrame, classes: np.ndarray, size: int) -> np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros((size, size), np.int64)
-        for b in batches:
+        for b in K.slices(batches):
             for w, ids, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 m[classes[w]] += np.bincount(classes[np.frombuffer(ids, np.int32)], np.frombuffer(n, np.int64), size).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["m"])
@@ -197,7 +197,7 @@ def moves(pairs: DataFrame, classes: np.ndarray, m: np.ndarray, movable: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], []]
-        for b in batches:
+        for b in K.slices(batches):
             for w, ri, rn, li, ln in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                 if w >= words:
                     continue

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from . import textkernel as K
+
 
 def append(df: DataFrame, text: str, fields: list[StructField], make: Callable[[list[str]], list]) -> DataFrame:
     """``df`` with the columns that ``make`` computes from a list of texts (null as empty).
@@ -26,7 +28,7 @@ def append(df: DataFrame, text: str, fields: list[StructField], make: Callable[[
     arrow = to_arrow_schema(StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             made = make(b.column(b.num_columns - 1).to_pylist())
             new = [pa.array(v, type=f.type) if not isinstance(v, pa.Array) else v for v, f in zip(made, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], *new], names=[f.name for f in schema.fields])

@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id", "text"])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             texts, counts, hashes = b.column(1).to_pylist(), [], []
             for c in K.chunks(texts):
                 w = K.words(c)
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     again = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id", "text"]).withColumn("half", F.xxhash64("__id", F.lit("half")) % 2 == 0)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             texts, half = b.column(1).to_pylist(), np.array(b.column(3).to_pylist(), bool)
             x = np.zeros((len(texts), len(FEATURES)))
             for h in (True, False):

@@ -92,7 +92,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[np.ndarray]] = {}
-        for b in batches:
+        for b in K.slices(batches):
             langs = b.column(0).to_pylist()
             for name, g in zip(langs, text_grams(K.strings(b.column(1))), strict=True):
                 total.setdefault(name, []).append(np.stack(np.unique(g, return_counts=True)))

@@ -77,7 +77,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(id, set hash of two words, signature) of every document that has words, from (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             ids, h1, h2, sig = b.column(0).to_pylist(), [], [], []
             keep = []
             for i, s in zip(ids, shingles(K.strings(b.column(1))), strict=True):
@@ -96,7 +96,7 @@ def buckets(nodes: DataFrame, depth: int) -> DataFrame:
     """(key, id, least) of every prefix of this depth that several nodes share; least is the least id among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             if b.num_rows:
                 keys = prefixes(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32), depth)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), TREES))], names=["key", "id"])
@@ -195,7 +195,7 @@ def verify(docs: DataFrame, nodes: DataFrame, depth: int, threshold: float, star
     texts = docs.join(needed, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(K.strings(b.column(1)))], pa.binary())], names=["id", "shingles"])
 
     hashed = texts.mapInArrow(sets, "id long, shingles binary").where(F.length("shingles") > 0)

@@ -92,7 +92,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, seq = TaskContext.get().partitionId(), Packer(window, most), 0
-        for b in batches:
+        for b in K.slices(batches):
             ids, done = b.column(0).to_pylist(), []
             sizes = [np.diff(off) for _, _, off in bpe.opened(name).encode(K.strings(b.column(1)))]
             for doc, tokens in zip(ids, np.concatenate([np.zeros(0, np.int64), *sizes]).tolist(), strict=True):

@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE, MARK = 0, 1, 2, 3, 4
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: Rows of a batch whose texts are held as Python strings at a time.
+SLICE_ROWS = 2048
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
@@ -101,6 +103,13 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, without a copy; an empty batch stays."""
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(i, rows)
+
+
 def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[Chunk]:
     """Runs of documents of up to so many characters; a longer document is a run by itself."""
     begin = 0

@@ -111,7 +111,7 @@ def shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for b in batches:
+        for b in K.slices(batches):
             encoder, names, texts = bpe.opened(name), b.column(0).to_pylist(), K.strings(b.column(1))
             for rows, ids, off in encoder.encode(texts):
                 for k, i in enumerate(range(rows.start, rows.stop)):

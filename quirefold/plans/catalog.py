@@ -1,6 +1,6 @@
 """Every query of the library, and its SQL where there is any."""
 
-from . import grids, texts
+from . import documents, grids, texts
 
-QUERIES = texts.QUERIES | grids.QUERIES
-SQL = texts.SQL | grids.SQL
+QUERIES = texts.QUERIES | grids.QUERIES | documents.QUERIES
+SQL = texts.SQL | grids.SQL | documents.SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+
 from ..operators import algebra as A
 from ..operators import neighbours as N
 from ..sources import grid as G
@@ -323,4 +323,3 @@ def column_reassignment(spark: SparkSession, d: str) -> DataFrame:
     return A.reassign_by_overlap(e, b).select("doc_id", "elem_idx", "col")
 
 
-_ = T

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField
 
 from . import textkernel as K
-from .columns import append
-from .store import publish
+from .columns import append, most_frequent
+from .store import cut, publish
 
 #: Ranks of a byte-level vocabulary: a token in base 64 and its id, a line each.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -438,7 +438,7 @@ def frequent(df: DataFrame, text: str = "text", most: int = LEXICON) -> list[byt
 
     counted = df.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     # most rows, each a short piece
-    return [r[0].encode() for r in counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(most).collect()]
+    return [r[0].encode() for r in most_frequent(cut(counted.where("n > 1")), most, tie="piece").collect()]
 
 
 def compiled(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, most: int = LEXICON) -> str:

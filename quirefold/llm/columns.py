@@ -40,3 +40,18 @@ def dropping(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names in any case of letters."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def most_frequent(counted: DataFrame, most: int, n: str = "n", tie: str | None = None) -> DataFrame:
+    """The ``most`` rows of highest count, ties in order of another column, of a table that is written already.
+
+    How many rows have each count tells which count is the last to be taken, so a task sends the driver only rows that
+    may be among the result, however many tasks there are.
+    """
+    sizes = counted.groupBy(n).agg(F.count("*").alias("rows")).orderBy(F.desc(n)).collect()  # a row for each distinct count
+    total, last = 0, 0
+    for r in sizes:
+        total, last = total + r["rows"], r[n]
+        if total >= most:
+            break
+    return counted.where(F.col(n) >= last).orderBy(F.desc(n), *([tie] if tie else [])).limit(most)

@@ -192,12 +192,18 @@ def _valid(y: Column, m: Column, d: Column, digits: Column) -> Column:
     return F.coalesce(m.between(1, 12) & d.between(1, 31) & ((y > 0) | (digits == 2)), F.lit(False))
 
 
+_M, _D, _Y = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:[0-9]{2}|(?!0000)[0-9]{4})"
+_MM, _DD = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
+_SEPS = r"([/ .\-])"
+#: One pattern for all three orders and lone years, so that a text is read once.
+_DIGIT_DATE = (
+    rf"^(?:[12][0-9]{{3}}|{_M}{_SEPS}{_D}\1{_Y}|{_D}{_SEPS}{_M}\2{_Y}|{_Y}{_SEPS}{_MM}\3{_DD}|{_Y}{_SEPS}(?:[1-9]|1[0-2])\4(?:[1-9]|[12][0-9]|3[01]))$"
+)
+
+
 def is_numeric_date(c: C) -> Column:
     """A date in digits in any of the three orders, or a year from 1000 to 2999."""
-    t = _date_text(c)
-    parts = _numeric_parts(t)
-    short, big = F.length(F.regexp_extract(t, _SHORT, 4)), F.length(F.regexp_extract(t, _BIG, 1))
-    return F.regexp_like(t, F.lit("^[12][0-9]{3}$")) | _valid(*parts["middle"], short) | _valid(*parts["little"], short) | _valid(*parts["big"], big)
+    return F.regexp_like(_date_text(c), F.lit(_DIGIT_DATE))
 
 
 _MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]

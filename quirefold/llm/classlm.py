@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from . import textkernel as K
-from .columns import append
+from .columns import append, most_frequent
 from .store import cut
 
 VOCABULARY, CLASSES, TURNS = 8192, 64, 10
@@ -264,7 +264,7 @@ def train(df: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, class
     texts = df.select(F.col(f"`{text}`").cast("string").alias("text"))
     counted = cut(word_counts(texts))
     types = counted.count()
-    top = sorted((r[0], r[1]) for r in counted.orderBy(F.desc("n"), "hash").limit(vocabulary).collect())
+    top = sorted((r[0], r[1]) for r in most_frequent(counted, vocabulary, tie="hash").collect())
     known, counts = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64)
     pairs = cut(bigrams(texts, known))
     label, m = cluster(pairs, counts, classes, turns)

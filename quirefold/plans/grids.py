@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import algebra as A
+from ..operators import enrich as E
 from ..operators import neighbours as N
 from ..sources import grid as G
 from .texts import Query, type_sql
@@ -323,3 +324,36 @@ def column_reassignment(spark: SparkSession, d: str) -> DataFrame:
     return A.reassign_by_overlap(e, b).select("doc_id", "elem_idx", "col")
 
 
+
+
+@query("header_votes", f"{ORDERS} SELECT DISTINCT doc_id, 1 AS headers FROM cells")
+def header_votes(spark: SparkSession, d: str) -> DataFrame:
+    return E.header_votes(_cells(spark, d, "orders").withColumn("highlighted", F.col("row") == 0)).select("doc_id", "headers")
+
+
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    """Order grids in which every ninth row is a header again."""
+    c = _cells(spark, d, "orders")
+    names = F.array(*[F.lit(n) for n, _, _ in G.GRIDS["orders"][2]])
+    return c.withColumn("text", F.when(F.col("row") % 9 == 0, names[F.col("col")]).otherwise(F.col("text")))
+
+
+@query("split_tables", f"""{ORDERS}, n AS (SELECT * FROM (SELECT DISTINCT col, text AS name FROM cells WHERE "row" = 0))
+SELECT doc_id, "row" // 9 AS part, "row" % 9 AS "row", c.col, CASE WHEN "row" % 9 = 0 THEN name ELSE text END AS text FROM cells c JOIN n ON c.col = n.col""")
+def split_tables(spark: SparkSession, d: str) -> DataFrame:
+    return E.split_tables(_stacked(spark, d)).select("doc_id", "part", "row", "col", "text")
+
+
+@query("table_captions", f"{ORDERS} SELECT DISTINCT doc_id, 'Orders of ' || doc_id AS caption FROM cells")
+def table_captions(spark: SparkSession, d: str) -> DataFrame:
+    e = _elements(spark, d, "orders")
+    title = e.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("elem_idx"), F.lit(0).alias("page_no"), F.lit("text").alias("kind"), F.lit(20.0).alias("top"), F.lit(100.0).alias("left"), F.lit(90.0).alias("width"), F.lit(10.0).alias("height"), F.concat(F.lit("Orders of "), F.col("doc_id").cast("string")).alias("text"))
+    return E.captions(e.unionByName(title, allowMissingColumns=True), e.select("doc_id", F.lit(0).alias("table_id"), "elem_idx")).select("doc_id", "caption")
+
+
+@query("column_splitting", f"{PARTS} SELECT doc_id, elem_idx, col FROM elements")
+def column_splitting(spark: SparkSession, d: str) -> DataFrame:
+    e = _elements(spark, d, "part")
+    # two columns read as one, whose header holds two texts
+    joined = e.withColumn("col", F.when(F.col("col") >= 2, F.col("col") - 1).otherwise(F.col("col"))).withColumn("width", F.least("width", F.lit(float(G.PITCH - 6))))
+    return E.part_header_cells(joined).select("doc_id", "elem_idx", F.col("col"))

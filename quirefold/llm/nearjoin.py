@@ -9,7 +9,8 @@ estimated recall is below ``RECALL``, shortens the prefixes by one value and rep
 Scale.  Documents with the same set are one node from the start.  Nodes that share a prefix get a common leader (the
 least id they meet); the nodes of a leader, and those of two leaders that meet in a prefix, form units of work, split
 when they are large, and every pair belongs to one unit.  So a set is sent once per unit instead of once per pair, and a
-unit's intersections come from matrix products.  No candidate is dropped.
+unit's intersections come from matrix products.  No candidate is dropped.  ``all_pairs`` spreads the pairs of sets over
+the documents that have them, and lists the documents of one set with each other, in blocks of ``BLOCK`` ids a side.
 
 Defined results: null ids are left out; null and empty texts, and texts without words, have no partner; rows that repeat
 an id are one document whose similarity is the best of its rows; an empty table gives no pairs; only the id and text
@@ -32,6 +33,8 @@ GRAM, THRESHOLD = 3, 0.5
 TREES, DEPTH, LEAST_DEPTH, RECALL = 24, 4, 2, 0.97
 #: A unit of more members is split in parts of half that size.
 UNIT = 2048
+#: About so many documents of one set are held together when pairs of sets become pairs of documents.
+BLOCK = 1024
 #: Up to so many ids are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _rng = np.random.default_rng(20240229)
@@ -51,6 +54,11 @@ def shingles(texts: list[str], n: int = GRAM) -> Iterator[np.ndarray]:
                 yield K.ngram_hash(w.hash[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two words that stand for a set."""
+    return int(K.mix(s).sum()), int(K.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """MinHash values of a set, ``DEPTH`` for each tree."""
     least = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint64)
@@ -78,16 +86,14 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
-            ids, h1, h2, sig = b.column(0).to_pylist(), [], [], []
-            keep = []
+            ids, keep, both, sig = b.column(0).to_pylist(), [], [], []
             for i, s in zip(ids, shingles(K.strings(b.column(1))), strict=True):
                 if len(s):
                     keep.append(i)
-                    h1.append(int(K.mix(s).sum()))
-                    h2.append(int(K.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()))
+                    both.append(set_hash(s))
                     sig.append(signature(s).tobytes())
-            both = np.array([h1, h2], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.array(sig, pa.binary())], names=["id", "h1", "h2", "sig"])
+            h1, h2 = np.array(both, np.uint64).reshape(-1, 2).view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary())], names=["id", "h1", "h2", "sig"])
 
     return docs.mapInArrow(run, "id long, h1 long, h2 long, sig binary")
 
@@ -180,9 +186,11 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[label[other]], ids[other]
 
 
-def verify(docs: DataFrame, nodes: DataFrame, depth: int, threshold: float, stars: bool) -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, depth: int, threshold: float, stars: bool, by_set: bool = False) -> DataFrame:
     """Verified pairs (a, b, jaccard, weight) among nodes that share a prefix of this depth, cut.
 
+    With ``by_set`` they are pairs of sets (a1, a2, b1, b2, jaccard, weight), named by their hashes.
+
     With ``stars`` each unit's pairs become the edges from the least id of each connected part; ``jaccard`` is then null
     and ``weight`` and ``pairs`` stand in the first row.  ``weight`` is what the pairs stand for in the estimate.
     """
@@ -196,14 +204,20 @@ def verify(docs: DataFrame, nodes: DataFrame, depth: int, threshold: float, star
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(K.strings(b.column(1)))], pa.binary())], names=["id", "shingles"])
+            found = list(shingles(K.strings(b.column(1))))
+            h1, h2 = np.array([set_hash(s) for s in found], np.uint64).reshape(-1, 2).view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1), pa.array(h2), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "h1", "h2", "shingles"])
 
-    hashed = texts.mapInArrow(sets, "id long, shingles binary").where(F.length("shingles") > 0)
+    hashed = texts.mapInArrow(sets, "id long, h1 long, h2 long, shingles binary").where(F.length("shingles") > 0)
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
         unit = tuple(int(k.as_py()) for k in key)
-        cols = {c: table.column(c).to_numpy() for c in ("id", "leader", "part")}
-        a, b, s = verified(cols["id"], cols["leader"], cols["part"], unit, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], threshold)
+        cols = {c: table.column(c).to_numpy() for c in ("id", "leader", "part", "h1", "h2")}
+        ids = cols["id"]
+        if by_set:
+            names, ids = np.unique(np.stack([cols["h1"], cols["h2"]], axis=1), axis=0, return_inverse=True)
+            ids = ids.ravel()
+        a, b, s = verified(ids, cols["leader"], cols["part"], unit, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], threshold)
         weight, pairs = 1 / found_at(s, depth), np.ones(len(s), np.int64)
         if stars:
             total, n = weight.sum(), len(s)
@@ -211,11 +225,33 @@ def verify(docs: DataFrame, nodes: DataFrame, depth: int, threshold: float, star
             s, weight, pairs = None, np.zeros(len(a)), np.zeros(len(a), np.int64)
             if len(a):
                 weight[0], pairs[0] = total, n
+        if by_set:
+            ends = {f"{c}{k + 1}": pa.array(names[at, k], pa.int64()) for c, at in (("a", a), ("b", b)) for k in range(2)}
+            return pa.table({**ends, "jaccard": pa.array(s, pa.float64()), "weight": pa.array(weight, pa.float64()), "pairs": pa.array(pairs, pa.int64())})
         jaccard = pa.nulls(len(a), pa.float64()) if s is None else pa.array(s, pa.float64())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": jaccard, "weight": pa.array(weight, pa.float64()), "pairs": pa.array(pairs, pa.int64())})
 
     work = member.join(hashed, "id").groupBy("u", "v", "i", "j")
-    return cut(work.applyInArrow(check, "a long, b long, jaccard double, weight double, pairs long"))
+    ends = "a1 long, a2 long, b1 long, b2 long" if by_set else "a long, b long"
+    return cut(work.applyInArrow(check, f"{ends}, jaccard double, weight double, pairs long"))
+
+
+def prepare(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text) of the documents, their sketches, and a node for each distinct set."""
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
+    base = cut(sketch(docs))
+    nodes = cut(base.groupBy("h1", "h2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.max("id").alias("most"), F.count("*").alias("n")))
+    return docs, base, nodes
+
+
+def search(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float, stars: bool = False, by_set: bool = False) -> DataFrame:
+    """Verified pairs at the depth that reaches the estimated recall."""
+    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+        pairs = verify(docs, nodes, depth, threshold, stars, by_set)
+        n, weight = pairs.agg(F.sum("pairs"), F.sum("weight")).first()
+        if not n or n / weight >= recall:
+            break
+    return pairs
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, stars: bool = False) -> DataFrame:
@@ -225,19 +261,34 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     sets appears once, for their least documents.  ``expand`` lists all pairs of documents.  With ``stars`` only a
     spanning set of pairs is given, with null similarities, enough to tell which documents hang together.
     """
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
-    base = cut(sketch(docs))
-    nodes = cut(base.groupBy("h1", "h2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.max("id").alias("most")))
+    docs, base, nodes = prepare(df, doc_id, text)
     copies = base.select("h1", "h2", "id").join(nodes.where("id < most").select("h1", "h2", F.col("id").alias("a")), ["h1", "h2"]).where("a < id")
     copies = copies.select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        pairs = verify(docs, nodes, depth, threshold, stars)
-        n, weight = pairs.agg(F.sum("pairs"), F.sum("weight")).first()
-        if not n or n / weight >= recall:
-            break
+    pairs = search(docs, nodes, threshold, recall, stars)
     return pairs.select("a", "b", "jaccard").unionByName(copies).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
 
 
+def all_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Every pair of documents (doc_id_a, doc_id_b, jaccard) of similarity ``threshold`` or more, a < b, once."""
+    docs, base, nodes = prepare(df, doc_id, text)
+    pairs = search(docs, nodes, threshold, recall, by_set=True).select("a1", "a2", "b1", "b2", "jaccard")
+    large = nodes.where(F.col("n") > BLOCK).select("h1", "h2", F.ceil(F.col("n") / BLOCK).alias("several"))
+    sized = base.select("h1", "h2", "id").join(large, ["h1", "h2"], "left").withColumn("parts", F.coalesce("several", F.lit(1)))
+    blocks = cut(sized.groupBy("h1", "h2", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_set("id").alias("ids")))
+    side = lambda c, of=blocks: of.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.col("part").alias(f"{c}_part"), F.col("ids").alias(f"{c}_ids"))
+    near = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a_ids", "b_ids", F.lit(False).alias("own"), "jaccard")
+    many = blocks.where((F.size("ids") > 1) | (F.col("parts") > 1))
+    same = side("a", many).join(side("b", many), (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).where("a_part <= b_part").select("a_ids", "b_ids", (F.col("a_part") == F.col("b_part")).alias("own"), F.lit(1.0).alias("jaccard"))
+    # one row is up to BLOCK x BLOCK pairs: spread before they are listed
+    listed = near.unionByName(same).hint("rebalance").select(F.explode("a_ids").alias("a"), "b_ids", "own", "jaccard").select("a", F.explode("b_ids").alias("b"), "own", "jaccard")
+    listed = listed.where("IF(own, a < b, a <> b)").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "jaccard")
+    ids = base.select("id").distinct().count()
+    if blocks.agg(F.sum(F.size("ids"))).first()[0] in (None, ids):
+        return listed
+    # an id with several sets: the best of them
+    return listed.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
 def expand(pairs: DataFrame) -> DataFrame:
     """All pairs of documents that ``join`` stands for, those among equal sets included."""
     star = pairs.where("jaccard = 1").select(F.col("doc_id_a").alias("least"), F.col("doc_id_b").alias("member"))
@@ -266,8 +317,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents whose trigram sets have a Jaccard similarity of 0.5 or more."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Pairs of documents whose trigram sets have a Jaccard similarity of 0.5 or more, equal sets included."""
+    return all_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

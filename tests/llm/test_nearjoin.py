@@ -101,3 +101,19 @@ def test_one_of_each_group_stays(spark):
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     assert {r.id: r.root for r in nearjoin.components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_registered_query_lists_every_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nearjoin, "BLOCK", 8)
+    base = [f"w{k}" for k in range(60)]
+    near = base[:-2] + ["other", "words"]
+    texts = [" ".join(base)] * 30 + [" ".join(near)] * 20 + ["a text that stands alone here"]
+    rows = [(i, t) for i, (_, t) in enumerate(sorted(enumerate(texts), key=lambda x: x[0] * 7 % len(texts)))]
+    # ids with two sets: a pair counts by its best rows, and two documents of one set are no pair because of a third's other set
+    rows += [(200, " ".join(base)), (200, "one more text of quite other words"), (201, "one more text of quite other words"), (202, "one more text of quite other words again"), (0, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows)
+    found = nearjoin.op2_ngram_jaccard_join(spark, str(tmp_path))
+    got = pairs(found)
+    assert len(want) >= 50 * 49 / 2 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert found.count() == len(want)

@@ -1,11 +1,14 @@
 """A class-based bigram language model: exchange clustering of words, class transitions and word emissions.
 
-Words are counted over all texts.  The ``VOCABULARY`` most frequent get a class; all others share the class of rare
-words, and a text's beginning has a class of its own.  Bigram counts over these, again of all texts, are held as one row
-a word, so each step of the clustering is a map over those rows: for every word the exact change of the class bigram
+Words are counted over all texts.  Every word that occurs ``LEAST`` times or more has a class and an emission of its own;
+the others, which occur once, share the class of rare words, where each has the same count; a text's beginning has a class
+of its own.  The ``CORE`` most frequent words are clustered first.  Their bigram counts, again of all texts, are held as one
+row a word, so each step of the clustering is a map over those rows: for every word the exact change of the class bigram
 likelihood is computed for a move to each class.  Words take turns by halves; the better moves of a turn are made
-together, and kept only if the likelihood rises, else the better half of them is tried, and so on.  State that the driver
-holds is bounded by the vocabulary and the classes.
+together, and kept only if the likelihood rises, else the better half of them is tried, and so on.  Then, for ``ROUNDS``
+rounds, all other words are moved to their best class by the counts of the classes beside them in all texts; a round after
+the first is kept only if the likelihood rises.  The vocabulary grows with the texts: the driver and a file that every
+worker maps hold 18 bytes a word of it.
 
 The probability of a word w of class c after one of class b is P(c | b) P(w | c), where P(c | b) mixes the relative
 frequency with the classes' own by Witten and Bell's weight, and P(w | c) is the relative frequency; the rare words'
@@ -23,15 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from . import textkernel as K
 from .columns import append, most_frequent
-from .store import cut
+from .store import cut, publish
 
-VOCABULARY, CLASSES, TURNS = 8192, 64, 10
+LEAST, CORE, CLASSES, TURNS, ROUNDS = 2, 8192, 64, 10, 2
+#: Parts of the vocabulary, each moved by one task.
+SHARDS = 96
+#: Counts of a word beside a class that are weighed at a time.
+WEIGHED = 30_000
 #: Distinct keys that a task holds before it sends them on.
 HELD = 3_000_000
 
@@ -90,6 +98,10 @@ def word_ids(c: K.Chunk, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = w.hash.view(np.int64)
     if not len(known):
         return np.zeros(len(h), np.int64), w.off
+    if len(known) > 1 << 16:  # in order, so that a large table is read in order
+        h, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, at, len(known))[back], w.off
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     return np.where(known[at] == h, at, len(known)), w.off
 
@@ -236,6 +248,101 @@ def cluster(pairs: DataFrame, counts: np.ndarray, classes: int = CLASSES, turns:
     return label, m
 
 
+def share(spark: SparkSession, values: np.ndarray) -> tuple[str, str]:
+    """An array handed to every worker, for ``mapped``."""
+    return publish(spark, np.ascontiguousarray(values).view(np.uint8), ".array") if len(values) else "", values.dtype.str
+
+
+def mapped(shared: tuple[str, str]) -> np.ndarray:
+    return np.memmap(SparkFiles.get(shared[0]), shared[1], mode="r") if shared[0] else np.zeros(0, shared[1])
+
+
+def all_class_counts(texts: DataFrame, known: tuple[str, str], label: np.ndarray, size: int) -> np.ndarray:
+    """Counts of class bigrams in all texts."""
+    shared = share(texts.sparkSession, label.astype(np.int16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes, m = mapped(known), mapped(shared), np.zeros(size * size, np.int64)
+        for b in K.slices(batches):
+            for c in K.chunks(K.strings(b.column(0))):
+                ids, off = word_ids(c, words)
+                m += np.bincount(classes[before(ids, off, len(words) + 1)].astype(np.int64) * size + classes[ids], minlength=size * size)
+        yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["m"])
+
+    # one classes x classes matrix a task
+    return sum((np.frombuffer(r[0], np.int64).reshape(size, size) for r in texts.mapInArrow(run, "m binary").collect()), np.zeros((size, size), np.int64))
+
+
+def best_classes(w: np.ndarray, side: np.ndarray, beside: np.ndarray, n: np.ndarray, own: np.ndarray, m: np.ndarray, movable: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, class) of greatest likelihood, from the counts of each word beside a class, in order of words.
+
+    ``side`` is 0 where the class follows, 1 where it precedes; ``own`` is the word's present class.  Exact up to words
+    that stand beside their own class.
+    """
+    m = m.astype(float)
+    rows, cols = m.sum(axis=1)[:movable], m.sum(axis=0)[:movable]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    bounds, out = np.append(first, len(w)), []
+    begin = 0
+    while begin < len(first):
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + WEIGHED, side="right")) - 1)
+        at = slice(bounds[begin], bounds[end])
+        sd, j, v, o, starts = side[at], beside[at], n[at].astype(float), own[at], first[begin:end] - bounds[begin]
+        cell = np.where(sd[:, None] == 0, m[:movable, j].T, m[j, :movable])
+        k = np.flatnonzero(o < movable)
+        cell[k, o[k]] = np.maximum(cell[k, o[k]] - v[k], 0)
+        line = np.add.reduceat(xlogx(cell + v[:, None]) - xlogx(cell), starts, axis=0)
+        for s, sums in ((0, rows), (1, cols)):
+            total = np.add.reduceat(np.where(sd == s, v, 0), starts)
+            left = np.repeat(sums[None, :], len(starts), axis=0)
+            mine = np.flatnonzero(o[starts] < movable)
+            left[mine, o[starts][mine]] = np.maximum(left[mine, o[starts][mine]] - total[mine], 0)
+            line -= xlogx(left + total[:, None]) - xlogx(left)
+        out.append(line.argmax(axis=1))
+        begin = end
+    return w[first], np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def spread(texts: DataFrame, known: tuple[str, str], label: np.ndarray, core: np.ndarray, m: np.ndarray, movable: int) -> np.ndarray:
+    """Classes after every word outside the core has moved to its best class."""
+    shared, size, words = share(texts.sparkSession, label.astype(np.int16)), len(m), len(label) - 2
+    span = 2 * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, classes, held = mapped(known), mapped(shared), Held()
+        free = np.ones(words + 2, bool)
+        free[core] = free[words:] = False
+
+        def give() -> pa.RecordBatch:
+            key, n = held.take()
+            shard = key // span * SHARDS // words
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(key) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(key)) if len(key) else first
+            ends = list(zip(first.tolist(), last.tolist(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int64()), pa.array([key[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([n[a:b].astype(np.int32).tobytes() for a, b in ends], pa.binary())], names=["shard", "keys", "n"])
+
+        for b in K.slices(batches):
+            for c in K.chunks(K.strings(b.column(0))):
+                ids, off = word_ids(c, hashes)
+                prior = before(ids, off, words + 1)
+                x, y = free[prior], free[ids]
+                held.add(np.concatenate([prior[x] * span + classes[ids[x]], ids[y] * span + size + classes[prior[y]]]))
+            if held.full():
+                yield give()
+        yield give()
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        keys, n = tally(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("n").to_pylist()), np.int32).astype(np.int64))
+        w, code = keys // span, keys % span
+        w, c = best_classes(w, code // size, code % size, n, mapped(shared)[w].astype(np.int64), m, movable)
+        return pa.table({"w": pa.array(w, pa.int32()), "c": pa.array(c, pa.int16())})
+
+    moved = texts.mapInArrow(run, "shard long, keys binary, n binary").groupBy("shard").applyInArrow(choose, "w int, c short").toArrow()  # 6 bytes a word
+    out = label.copy()
+    out[moved.column("w").to_numpy()] = moved.column("c").to_numpy()
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs: sorted hashes of the vocabulary, classes, and logarithms of both probabilities."""
@@ -259,27 +366,48 @@ def probabilities(label: np.ndarray, m: np.ndarray, counts: np.ndarray, rare_typ
     return np.log(transition), np.log(emission)
 
 
-def train(df: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES, turns: int = TURNS) -> Model:
-    """Model of all texts of a table."""
+def train(df: DataFrame, text: str = "text", vocabulary: int | None = None, classes: int = CLASSES, turns: int = TURNS, core: int = CORE, rounds: int = ROUNDS) -> Model:
+    """Model of all texts of a table; ``vocabulary`` bounds the words that have a class, which else are all but the rare."""
     texts = df.select(F.col(f"`{text}`").cast("string").alias("text"))
     counted = cut(word_counts(texts))
     types = counted.count()
-    top = sorted((r[0], r[1]) for r in most_frequent(counted, vocabulary, tie="hash").collect())
+    top = sorted((r[0], r[1]) for r in most_frequent(counted, core if vocabulary is None else vocabulary, tie="hash").collect())
     known, counts = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64)
     pairs = cut(bigrams(texts, known))
     label, m = cluster(pairs, counts, classes, turns)
+    if vocabulary is None and len(known) < types:
+        every = counted.where((F.col("n") >= LEAST) | (F.col("n") > int(counts.min()))).select("hash", "n").toArrow()  # 16 bytes a word
+        hashes, numbers = every.column("hash").to_numpy(), every.column("n").to_numpy()
+        outside = ~np.isin(hashes, known)
+        whole = np.concatenate([known, hashes[outside]])
+        order = np.argsort(whole)
+        all_counts = np.concatenate([counts, numbers[outside]])[order]
+        own = np.full(len(whole) + 2, classes, np.int64)
+        own[-1] = classes + 1
+        own[: len(whole)] = np.concatenate([label[: len(known)], np.full(int(outside.sum()), classes)])[order]
+        inner, known, counts, label = np.flatnonzero(order < len(known)), whole[order], all_counts, own
+        shared = share(df.sparkSession, known)
+        for k in range(rounds if outside.any() else 0):
+            trial = spread(texts, shared, label, inner, m, classes)
+            new = all_class_counts(texts, shared, trial, classes + 2)
+            if k and likelihood(new) <= likelihood(m):
+                break
+            label, m = trial, new
     return Model(known, label, *probabilities(label, m, counts, types - len(known)))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``log_prob`` and ``perplexity``."""
+    shared = [share(df.sparkSession, x) for x in (model.known, model.classes.astype(np.int16), model.emission)]
+    transition = model.transition
 
     def make(texts: list[str]) -> list[pa.Array]:
+        known, classes, emission = map(mapped, shared)
         size, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-        start = len(model.known) + 1
+        start = len(known) + 1
         for c in K.chunks(texts):
-            ids, off = word_ids(c, model.known)
-            p = model.transition[model.classes[before(ids, off, start)], model.classes[ids]] + model.emission[ids] if len(ids) else np.zeros(0)
+            ids, off = word_ids(c, known)
+            p = transition[classes[before(ids, off, start)], classes[ids]] + emission[ids] if len(ids) else np.zeros(0)
             size.append(np.diff(off))
             total.append(np.bincount(np.repeat(np.arange(c.docs), np.diff(off)), p, c.docs))
         n, s = np.concatenate(size), np.concatenate(total)

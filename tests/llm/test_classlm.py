@@ -113,3 +113,45 @@ def test_awkward(spark):
     assert got.where("n_words > 0 AND (perplexity IS NULL OR isnan(perplexity))").count() == 0
     assert classlm.score(empty(spark), classlm.train(empty(spark))).count() == 0
     assert classlm.score(docs, classlm.train(empty(spark))).count() == docs.count()
+
+
+def test_every_repeated_word_has_its_own_class_and_emission(spark):
+    texts = [f"w{k} w{k * 7 % 900} w{k} the" for k in range(900)] + [f"once{k}" for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = classlm.train(docs, classes=4, core=20)
+    n = Counter(w for t in texts for w in t.split())
+    want = {int(np.uint64(K.hash_word(w)).astype(np.int64)): k for w, k in n.items() if k > 1}
+    assert dict.fromkeys(model.known.tolist()) == dict.fromkeys(sorted(want)) and set(model.classes[: len(want)]) <= set(range(4))
+    mass = np.bincount(model.classes[: len(want)], [want[h] for h in model.known.tolist()], 4)
+    assert np.allclose(np.exp(model.emission[:-1]), [want[h] / mass[c] for h, c in zip(model.known.tolist(), model.classes.tolist(), strict=False)])
+    assert np.isclose(np.exp(model.emission[-1]) * (len(n) - len(want) + 1), 1)
+    ids = {h: k for k, h in enumerate(model.known.tolist())}
+    for r in classlm.score(docs, model).collect()[::60]:
+        prior, total = len(ids) + 1, 0.0
+        for w in r.text.split():
+            k = ids.get(int(np.uint64(K.hash_word(w)).astype(np.int64)), len(ids))
+            total += model.transition[model.classes[prior], model.classes[k]] + model.emission[k]
+            prior = k
+        assert math.isclose(r.log_prob, total)
+
+
+def test_best_class_is_the_likeliest():
+    rng = np.random.default_rng(3)
+    movable, tile = 4, np.tile(np.arange(6), 2)
+    for own in (4, 1):
+        for _ in range(20):
+            right, left = rng.integers(0, 30, 6), rng.integers(0, 30, 6)
+            right[own] = left[own] = right[5] = 0  # it is not beside its own class, and nothing leads to a beginning
+            left[0] += max(0, right.sum() - left.sum())
+            right[0] += max(0, left.sum() - right.sum())
+            rest = rng.integers(200, 4000, (6, 6))
+
+            def at(k, rest=rest, right=right, left=left):
+                m = rest.copy()
+                m[k] += right
+                m[:, k] += left
+                return m
+
+            _, c = classlm.best_classes(np.zeros(12, np.int64), np.repeat([0, 1], 6), tile, np.concatenate([right, left]), np.full(12, own), at(own), movable)
+            value = [classlm.likelihood(at(k)) for k in range(movable)]
+            assert value[c[0]] >= max(value) - 0.05 * (max(value) - min(value))

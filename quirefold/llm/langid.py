@@ -30,7 +30,7 @@ from .columns import append, dropping
 PROFILE = 300
 #: At most so many labelled texts per language train its profile: a bounded sample, in a pseudo-random order of the ids.
 PER_LANGUAGE = 2000
-#: A text farther than this from every language is rejected: junk, mixtures and languages without a profile lie beyond it.
+#: A text farther than this from every language is rejected.  Few are (README): mixtures of known languages can lie nearer, and are kept.
 FARTHEST = 0.6
 _SPREAD, _MOD = 2654435761, 4294967291
 

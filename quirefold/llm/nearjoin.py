@@ -1,20 +1,27 @@
 """N-gram Jaccard self-join: an LSH forest of MinHash prefixes proposes, exact set intersection decides.
 
 A document is the set of hashes of its word trigrams (of all its words, where it has fewer).  ``TREES`` trees each order
-the documents by ``DEPTH`` MinHash values; documents are neighbours in a tree when their values agree on a prefix.  The
-join begins with whole prefixes and verifies what they propose; from the exact similarities found it estimates how many
-pairs such prefixes miss (each found pair of similarity J stands for 1 / (1 - (1 - J^d)^TREES) pairs) and, while the
-estimated recall is below ``RECALL``, shortens the prefixes by one value and repeats.
+the sets by ``DEPTH`` MinHash values; sets are neighbours in a tree when their values agree on a prefix.  The search
+begins with whole prefixes.  Signatures estimate the similarity of the pairs that such prefixes propose, and from it how
+many pairs they miss (a pair of similarity J stands for 1 / (1 - (1 - J^d)^TREES) pairs).  While the estimated recall of
+any band of similarity, a tenth wide, is below ``RECALL``, the prefixes are shortened by one value.  The pairs proposed at
+the last depth are verified by exact intersection of the sets.  A threshold so low that prefixes of one value would miss
+the recall is refused.
 
 Scale.  Documents with the same set are one node from the start.  Nodes that share a prefix get a common leader (the
-least id they meet); the nodes of a leader, and those of two leaders that meet in a prefix, form units of work, split
-when they are large, and every pair belongs to one unit.  So a set is sent once per unit instead of once per pair, and a
-unit's intersections come from matrix products.  No candidate is dropped.  ``all_pairs`` spreads the pairs of sets over
-the documents that have them, and lists the documents of one set with each other, in blocks of ``BLOCK`` ids a side.
-
-Defined results: null ids are left out; null and empty texts, and texts without words, have no partner; rows that repeat
-an id are one document whose similarity is the best of its rows; an empty table gives no pairs; only the id and text
-columns are read, so other columns cannot clash.
+least they meet); the nodes of a leader, and those of two leaders that meet in a prefix, form units of work, split when
+they are large, and every pair of sets belongs to one unit.  So a set is sent once per unit instead of once per pair, and
+a unit's intersections come from matrix products.  No candidate is dropped.  What leaves a unit is a row a set: how many
+documents it is linked with there, and a spanning star of the linked sets; so a group of thousands of near copies gives
+rows in proportion to its documents, while every link is counted.
+
+``classes`` gives one row a document, its class and its number of links; ``pairs`` gives the pairs of different sets and
+``copies`` the membership of the equal ones.
+
+Defined results: null ids are left out (``stage`` keeps such rows); null and empty texts, and texts without words, are
+classes of their own without links; rows that repeat an id are one document, each of its different sets counts its own
+links, and all of them are in one class; an empty table gives no rows; only the id and text columns are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,11 +37,11 @@ from . import textkernel as K
 from .store import cut
 
 GRAM, THRESHOLD = 3, 0.5
-TREES, DEPTH, LEAST_DEPTH, RECALL = 24, 4, 2, 0.97
+TREES, DEPTH, RECALL = 24, 4, 0.97
+#: Bands of similarity, each of which has to reach the recall.
+BANDS = 10
 #: A unit of more members is split in parts of half that size.
 UNIT = 2048
-#: About so many documents of one set are held together when pairs of sets become pairs of documents.
-BLOCK = 1024
 #: Up to so many ids are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _rng = np.random.default_rng(20240229)
@@ -82,24 +89,23 @@ def found_at(j: np.ndarray | float, depth: int) -> np.ndarray | float:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(id, set hash of two words, signature) of every document that has words, from (id, text)."""
+    """(id, set hash of two words, signature) of every document, null where it has no words, from (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
-            ids, keep, both, sig = b.column(0).to_pylist(), [], [], []
-            for i, s in zip(ids, shingles(K.strings(b.column(1))), strict=True):
-                if len(s):
-                    keep.append(i)
-                    both.append(set_hash(s))
-                    sig.append(signature(s).tobytes())
+            both, sig = [], []
+            for s in shingles(K.strings(b.column(1))):
+                both.append(set_hash(s) if len(s) else (0, 0))
+                sig.append(signature(s).tobytes() if len(s) else None)
+            none = np.array([x is None for x in sig], bool)
             h1, h2 = np.array(both, np.uint64).reshape(-1, 2).view(np.int64).T.copy()
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary())], names=["id", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, mask=none), pa.array(h2, mask=none), pa.array(sig, pa.binary())], names=["id", "h1", "h2", "sig"])
 
     return docs.mapInArrow(run, "id long, h1 long, h2 long, sig binary")
 
 
 def buckets(nodes: DataFrame, depth: int) -> DataFrame:
-    """(key, id, least) of every prefix of this depth that several nodes share; least is the least id among them."""
+    """(key, id, least) of every prefix of this depth that several nodes share; a node's id is ``h1``, least the least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
@@ -107,8 +113,9 @@ def buckets(nodes: DataFrame, depth: int) -> DataFrame:
                 keys = prefixes(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32), depth)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), TREES))], names=["key", "id"])
 
-    keyed = nodes.select("id", "sig").mapInArrow(run, "key long, id long")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    keyed = nodes.select("h1", "sig").mapInArrow(run, "key long, id long")
+    # a node more than once in a bucket is two sets of one first hash word, which have to be compared too
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     return cut(keyed.join(shared, "key").distinct())
 
 
@@ -148,157 +155,154 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(ids: np.ndarray, leaders: np.ndarray, parts: np.ndarray, unit: tuple[int, int, int, int], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity) of the pairs of one unit that reach the threshold, ids ascending within a pair."""
+def verified(leaders: np.ndarray, parts: np.ndarray, unit: tuple[int, int, int, int], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, similarity), x < y, of the pairs of sets of one unit that reach the threshold."""
     u, v, i, j = unit
     size = np.array([len(s) for s in sets], np.float64)
-    order = np.argsort(ids, kind="stable")
-    common = overlaps([sets[k] for k in order]).astype(np.float64)
-    ids, leaders, parts, size = ids[order], leaders[order], parts[order], size[order]
+    common = overlaps(sets).astype(np.float64)
     similar = common / (size[:, None] + size[None, :] - common)
-    ok = np.triu(similar >= threshold, 1) & (ids[:, None] != ids[None, :])
+    ok = np.triu(similar >= threshold, 1)
     if u != v:
         ok &= leaders[:, None] != leaders[None, :]
     if i != j:
         ok &= parts[:, None] != parts[None, :]
     x, y = np.nonzero(ok)
-    a, b, s = ids[x], ids[y], similar[x, y]
-    order = np.lexsort((-s, b, a))
-    a, b, s = a[order], b[order], s[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first], b[first], s[first]
-
-
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least id of its connected part, id) of each id that occurs in the pairs, without the least themselves."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    return x, y, similar[x, y]
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n places, the least place that the pairs connect it with."""
+    label = np.arange(n)
     while True:
         new = label.copy()
         np.minimum.at(new, x, label[y])
         np.minimum.at(new, y, label[x])
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    other = label != np.arange(len(ids))
-    return ids[label[other]], ids[other]
 
 
-def verify(docs: DataFrame, nodes: DataFrame, depth: int, threshold: float, stars: bool, by_set: bool = False) -> DataFrame:
-    """Verified pairs (a, b, jaccard, weight) among nodes that share a prefix of this depth, cut.
+def band(j: np.ndarray, threshold: float) -> np.ndarray:
+    """Band of each similarity from the threshold up."""
+    return np.clip(((j - threshold) * BANDS + 1e-9).astype(np.int64), 0, BANDS)
 
-    With ``by_set`` they are pairs of sets (a1, a2, b1, b2, jaccard, weight), named by their hashes.
 
-    With ``stars`` each unit's pairs become the edges from the least id of each connected part; ``jaccard`` is then null
-    and ``weight`` and ``pairs`` stand in the first row.  ``weight`` is what the pairs stand for in the estimate.
-    """
-    member = units(buckets(nodes, depth))
-    member = cut(member)
-    needed = member.select("id").distinct()
+def estimate(member: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> float:
+    """Least recall of any band that prefixes of this depth are estimated to reach, by the signatures of what they propose."""
+
+    def check(key: tuple, table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
+        # a value at its place is an element, so equal signatures have all elements in common
+        tagged = list(sig.astype(np.uint64) + (np.arange(TREES * DEPTH, dtype=np.uint64) << np.uint64(32)))
+        unit = tuple(int(k.as_py()) for k in key)
+        s = verified(table.column("leader").to_numpy(), table.column("part").to_numpy(), unit, tagged, threshold / (2 - threshold))[2]
+        j = 2 * s / (1 + s)  # the share of places at which two signatures agree
+        at = band(j, threshold)
+        return pa.table({"band": pa.array(range(BANDS + 1), pa.int32()), "n": pa.array(np.bincount(at, minlength=BANDS + 1), pa.int64()), "weight": pa.array(np.bincount(at, 1 / found_at(j, depth), BANDS + 1), pa.float64())})
+
+    work = member.join(nodes.select(F.col("h1").alias("id"), "sig"), "id").groupBy("u", "v", "i", "j")
+    found = work.applyInArrow(check, "band int, n long, weight double").groupBy("band").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    seen = {r["band"]: r["n"] / r["weight"] for r in found.collect() if r["n"]}  # a row a band
+    # of a band in which nothing was proposed, what its middle says
+    return min(seen.get(k, found_at(min(1.0, threshold + (k + 0.5) / BANDS), depth)) for k in range(BANDS + 1))
+
+
+def forest(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The units of work at the longest prefixes that reach the recall."""
+    if found_at(threshold, 1) < recall:
+        raise ValueError(f"a threshold of {threshold} is too low for a recall of {recall} with {TREES} trees")
+    for depth in range(DEPTH, 0, -1):
+        member = cut(units(buckets(nodes, depth)))
+        if depth == 1 or estimate(member, nodes, depth, threshold) >= recall:
+            return member
+
+
+def prepare(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text) of the documents, (id, h1, h2) of each document's sets, and a node for each distinct set."""
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
+    base = cut(sketch(docs))
+    records = base.select("id", "h1", "h2").distinct()
+    sized = records.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    signed = base.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.first("sig").alias("sig"))
+    return docs, records, cut(sized.join(signed, ["h1", "h2"]))
+
+
+def work(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The units of work with the sets of their members."""
+    member = forest(nodes, threshold, recall)
+    member = member.join(nodes.select(F.col("h1").alias("id"), "h1", "h2", "least", "n"), "id")
+    needed = member.select(F.col("least").alias("id")).distinct()
     # size-checked: beyond the bound the texts are shuffled to the ids
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    texts = docs.join(needed, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
-            found = list(shingles(K.strings(b.column(1))))
+            found = [s for s in shingles(K.strings(b.column(1))) if len(s)]
             h1, h2 = np.array([set_hash(s) for s in found], np.uint64).reshape(-1, 2).view(np.int64).T.copy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1), pa.array(h2), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "h1", "h2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([s.tobytes() for s in found], pa.binary())], names=["h1", "h2", "shingles"])
 
-    hashed = texts.mapInArrow(sets, "id long, h1 long, h2 long, shingles binary").where(F.length("shingles") > 0)
+    hashed = docs.join(needed, "id", "left_semi").mapInArrow(sets, "h1 long, h2 long, shingles binary")
+    one = hashed.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))  # rows that repeat a document
+    return member.join(one, ["h1", "h2"]).groupBy("u", "v", "i", "j")
 
-    def check(key: tuple, table: pa.Table) -> pa.Table:
-        unit = tuple(int(k.as_py()) for k in key)
-        cols = {c: table.column(c).to_numpy() for c in ("id", "leader", "part", "h1", "h2")}
-        ids = cols["id"]
-        if by_set:
-            names, ids = np.unique(np.stack([cols["h1"], cols["h2"]], axis=1), axis=0, return_inverse=True)
-            ids = ids.ravel()
-        a, b, s = verified(ids, cols["leader"], cols["part"], unit, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], threshold)
-        weight, pairs = 1 / found_at(s, depth), np.ones(len(s), np.int64)
-        if stars:
-            total, n = weight.sum(), len(s)
-            a, b = roots(a, b)
-            s, weight, pairs = None, np.zeros(len(a)), np.zeros(len(a), np.int64)
-            if len(a):
-                weight[0], pairs[0] = total, n
-        if by_set:
-            ends = {f"{c}{k + 1}": pa.array(names[at, k], pa.int64()) for c, at in (("a", a), ("b", b)) for k in range(2)}
-            return pa.table({**ends, "jaccard": pa.array(s, pa.float64()), "weight": pa.array(weight, pa.float64()), "pairs": pa.array(pairs, pa.int64())})
-        jaccard = pa.nulls(len(a), pa.float64()) if s is None else pa.array(s, pa.float64())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": jaccard, "weight": pa.array(weight, pa.float64()), "pairs": pa.array(pairs, pa.int64())})
-
-    work = member.join(hashed, "id").groupBy("u", "v", "i", "j")
-    ends = "a1 long, a2 long, b1 long, b2 long" if by_set else "a long, b long"
-    return cut(work.applyInArrow(check, f"{ends}, jaccard double, weight double, pairs long"))
 
+def checked(key: tuple, table: pa.Table, threshold: float) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A unit's members in order of their least documents, and its pairs."""
+    table = table.sort_by([("least", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    return table, *verified(table.column("leader").to_numpy(), table.column("part").to_numpy(), tuple(int(k.as_py()) for k in key), sets, threshold)
 
-def prepare(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, text) of the documents, their sketches, and a node for each distinct set."""
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
-    base = cut(sketch(docs))
-    nodes = cut(base.groupBy("h1", "h2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.max("id").alias("most"), F.count("*").alias("n")))
-    return docs, base, nodes
 
+def linked(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(h1, h2, least, root, links): each set's links with documents of other sets in a unit, and the least document there."""
 
-def search(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float, stars: bool = False, by_set: bool = False) -> DataFrame:
-    """Verified pairs at the depth that reaches the estimated recall."""
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        pairs = verify(docs, nodes, depth, threshold, stars, by_set)
-        n, weight = pairs.agg(F.sum("pairs"), F.sum("weight")).first()
-        if not n or n / weight >= recall:
-            break
-    return pairs
+    def check(key: tuple, table: pa.Table) -> pa.Table:
+        table, x, y, _ = checked(key, table, threshold)
+        n = table.column("n").to_numpy()
+        links = np.bincount(x, n[y], len(n)) + np.bincount(y, n[x], len(n))
+        some = np.flatnonzero(links)
+        root = table.column("least").to_numpy()[roots(len(n), x, y)]
+        return pa.table({**{c: table.column(c).take(some) for c in ("h1", "h2", "least")}, "root": pa.array(root[some], pa.int64()), "links": pa.array(links[some].astype(np.int64))})
+
+    return cut(work(docs, nodes, threshold, recall).applyInArrow(check, "h1 long, h2 long, least long, root long, links long"))
 
 
-def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, stars: bool = False) -> DataFrame:
-    """Pairs (doc_id_a, doc_id_b, jaccard) of similarity ``threshold`` or more, a < b.
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links), a row a document.
 
-    Documents whose sets are equal appear as pairs of the least of them with each other one, similarity 1; a pair of two
-    sets appears once, for their least documents.  ``expand`` lists all pairs of documents.  With ``stars`` only a
-    spanning set of pairs is given, with null similarities, enough to tell which documents hang together.
+    Documents are linked whose sets have a similarity of ``threshold`` or more; ``n_links`` counts the other documents that
+    one is linked with, those of an equal set included, and ``class_id`` is the least document that links lead to.
     """
-    docs, base, nodes = prepare(df, doc_id, text)
-    copies = base.select("h1", "h2", "id").join(nodes.where("id < most").select("h1", "h2", F.col("id").alias("a")), ["h1", "h2"]).where("a < id")
-    copies = copies.select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = search(docs, nodes, threshold, recall, stars)
-    return pairs.select("a", "b", "jaccard").unionByName(copies).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
-
-
-def all_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Every pair of documents (doc_id_a, doc_id_b, jaccard) of similarity ``threshold`` or more, a < b, once."""
-    docs, base, nodes = prepare(df, doc_id, text)
-    pairs = search(docs, nodes, threshold, recall, by_set=True).select("a1", "a2", "b1", "b2", "jaccard")
-    large = nodes.where(F.col("n") > BLOCK).select("h1", "h2", F.ceil(F.col("n") / BLOCK).alias("several"))
-    sized = base.select("h1", "h2", "id").join(large, ["h1", "h2"], "left").withColumn("parts", F.coalesce("several", F.lit(1)))
-    blocks = cut(sized.groupBy("h1", "h2", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_set("id").alias("ids")))
-    side = lambda c, of=blocks: of.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.col("part").alias(f"{c}_part"), F.col("ids").alias(f"{c}_ids"))
-    near = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a_ids", "b_ids", F.lit(False).alias("own"), "jaccard")
-    many = blocks.where((F.size("ids") > 1) | (F.col("parts") > 1))
-    same = side("a", many).join(side("b", many), (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).where("a_part <= b_part").select("a_ids", "b_ids", (F.col("a_part") == F.col("b_part")).alias("own"), F.lit(1.0).alias("jaccard"))
-    # one row is up to BLOCK x BLOCK pairs: spread before they are listed
-    listed = near.unionByName(same).hint("rebalance").select(F.explode("a_ids").alias("a"), "b_ids", "own", "jaccard").select("a", F.explode("b_ids").alias("b"), "own", "jaccard")
-    listed = listed.where("IF(own, a < b, a <> b)").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "jaccard")
-    ids = base.select("id").distinct().count()
-    if blocks.agg(F.sum(F.size("ids"))).first()[0] in (None, ids):
-        return listed
-    # an id with several sets: the best of them
-    return listed.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def expand(pairs: DataFrame) -> DataFrame:
-    """All pairs of documents that ``join`` stands for, those among equal sets included."""
-    star = pairs.where("jaccard = 1").select(F.col("doc_id_a").alias("least"), F.col("doc_id_b").alias("member"))
-    least = star.select("least", F.col("least").alias("member")).distinct()
-    group = star.unionByName(least)
-    side = lambda c: group.select(F.col("least").alias(c), F.col("member").alias(f"{c}_member"))
-    wide = pairs.join(side("doc_id_a"), "doc_id_a", "left").join(side("doc_id_b"), "doc_id_b", "left")
-    a, b = F.coalesce("doc_id_a_member", "doc_id_a"), F.coalesce("doc_id_b_member", "doc_id_b")
-    among = group.alias("x").join(group.alias("y"), F.col("x.least") == F.col("y.least")).where("x.member < y.member").select(F.col("x.member").alias("doc_id_a"), F.col("y.member").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return wide.where(a != b).select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "jaccard").unionByName(among).distinct()
+    docs, records, nodes = prepare(df, doc_id, text)
+    found = linked(docs, nodes, threshold, recall)
+    records = records.join(nodes.select("h1", "h2", "least", "n"), ["h1", "h2"], "left")
+    records = cut(records.join(found.groupBy("h1", "h2").agg(F.sum("links").alias("links")), ["h1", "h2"], "left").select("id", F.coalesce("least", "id").alias("least"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).alias("links")))
+    several = records.groupBy("id").agg(F.min("least").alias("least"), F.max("least").alias("most")).where("least < most").select("id")
+    # documents of several sets tie them together
+    ties = records.join(several, "id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    labels = components(found.where("least <> root").select(F.col("root").alias("a"), F.col("least").alias("b")).unionByName(ties))
+    done = records.join(labels.select(F.col("id").alias("least"), "root"), "least", "left").groupBy("id").agg(F.min(F.coalesce("root", "least")).alias("class_id"), F.sum("links").alias("n_links"))
+    return done.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+def pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of every pair of different sets that reach ``threshold``, each by its least document."""
+    docs, _, nodes = prepare(df, doc_id, text)
+
+    def check(key: tuple, table: pa.Table) -> pa.Table:
+        table, x, y, s = checked(key, table, threshold)
+        least = table.column("least").to_numpy()
+        return pa.table({"doc_id_a": pa.array(least[x], pa.int64()), "doc_id_b": pa.array(least[y], pa.int64()), "jaccard": pa.array(s, pa.float64())})
+
+    return work(docs, nodes, threshold, recall).applyInArrow(check, "doc_id_a long, doc_id_b long, jaccard double").where("doc_id_a <> doc_id_b")
+
+
+def copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, least): every document and the least one that has its set."""
+    _, records, nodes = prepare(df, doc_id, text)
+    return records.join(nodes.select("h1", "h2", "least"), ["h1", "h2"]).select(F.col("id").alias("doc_id"), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,13 +321,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents whose trigram sets have a Jaccard similarity of 0.5 or more, equal sets included."""
-    return all_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document with its class of documents linked by a Jaccard similarity of trigrams of 0.5 or more, and its number of links."""
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that hang together with a document of a lower id."""
-    edges = join(docs, stars=True).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    gone = cut(components(edges).where("id <> root").select(F.col("id").alias("__gone")))
+    """The documents without those that links lead from to a document of a lower id; rows without an id stay."""
+    gone = cut(classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")))
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone"], "left_anti")

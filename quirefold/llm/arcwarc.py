@@ -10,11 +10,16 @@ begins with an HTTP status line, ``metadata`` for ``dns:`` URLs and ``resource``
 ISO 8601 in UTC (shorter dates are filled up as in ``19960101000000``), the digest ``sha1:`` and the base-32 SHA-1 of the
 block, and the identifier a UUID made from MD5 of file, URL, date and digest, so that conversion can be repeated.
 
-Damage has a defined result: a header line that cannot be parsed, or a length that runs past the file's end, gives a
-record of type ``error`` that holds what was found, and reading goes on at the next line that parses as a header, or
-ends.  Null and empty content gives no records.  Members compressed one by one with gzip are unpacked.  In
-``pages_to_arc`` a null URL is written as ``unknown:`` and a null page as an empty body; line breaks and spaces in URLs
-become %0A, %0D and %20.
+Damage has a defined result: a header line that cannot be parsed, or a length that runs past the file's end, gives one
+record of type ``error`` that holds all up to the next line that parses as a header, where reading goes on.  Members
+compressed one by one with gzip are unpacked; a member that cannot be unpacked gives an ``error`` record of its bytes, up
+to the next member that can, and what stands between members uncompressed is read like any other content (zero bytes
+there are padding).  Null and empty content gives no records.
+
+In ``pages_to_arc`` a null URL is written as ``unknown:`` and a null page as an empty body; line breaks and spaces in URLs
+become %0A, %0D and %20; pages of a null id are left out; rows that repeat an id are records each, in order of URL and
+page, so ties between equal rows do not matter; a page of any length is one record; no pages give no archives; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,20 +39,51 @@ SCHEMA = "arc_file string, position long, warc_type string, record_id string, ta
 #: Pages in one archive of ``pages_to_arc``.
 PER_FILE = 256
 V1, V2 = "URL IP-address Archive-date Content-type Archive-length", "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+GZIP = b"\x1f\x8b\x08"
 _DATE = re.compile(r"\d{4,14}$")
 
 
-def inflate(content: bytes) -> bytes:
-    """Content with its gzip members unpacked; other content as it is."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        try:
-            out.append(d.decompress(content) + d.flush())
-        except zlib.error:
-            return b"".join(out)
-        content = d.unused_data
-    return b"".join(out) if out else content
+def member(content: memoryview, at: int) -> tuple[bytes, int, bool] | None:
+    """Content, end and completeness of the gzip member at a place, or None where it cannot be unpacked."""
+    d, out, end = zlib.decompressobj(31), [], at
+    try:
+        while not d.eof and end < len(content):
+            out.append(d.decompress(content[end : end + (1 << 16)]))
+            end = min(end + (1 << 16), len(content))
+        out.append(d.flush())
+    except zlib.error:
+        return None
+    return b"".join(out), end - len(d.unused_data), d.eof
+
+
+def unpacked(content: bytes) -> Iterator[tuple[bool, bytes]]:
+    """(True, content) with gzip members unpacked, and (False, bytes) of members that cannot be, in turn."""
+    if content[:2] != GZIP[:2]:
+        yield True, content
+        return
+    view, at, good, bad = memoryview(content), 0, [], -1
+    while at < len(content):
+        one = member(view, at) if content[at : at + 3] == GZIP else None
+        further = content.find(GZIP, at + 1)
+        # an incomplete member counts only at the end: elsewhere it is damage that reads like data
+        if one and (one[2] or further < 0):
+            if bad >= 0:
+                yield False, content[bad:at]
+                bad = -1
+            good.append(one[0])
+            at = one[1]
+            continue
+        if bad < 0 and content[at : at + 2] != GZIP[:2]:
+            good.append(content[at : further if further >= 0 else len(content)].strip(b"\0"))
+        elif bad < 0:
+            if good:
+                yield True, b"".join(good)
+            good, bad = [], at
+        at = further if further >= 0 else len(content)
+    if bad >= 0:
+        yield False, content[bad:]
+    if good:
+        yield True, b"".join(good)
 
 
 def iso_date(arc: str) -> str | None:
@@ -95,43 +131,50 @@ def kind_of(url: str, block: bytes) -> str:
     return "response" if block[:5] == b"HTTP/" else "resource"
 
 
+def found_at(content: bytes, at: int, version: int) -> tuple[int, tuple[str, str, str, str, int] | None]:
+    """Where the line at a place ends, and the header that it is, or None."""
+    end = content.find(b"\n", at)
+    end = len(content) if end < 0 else end
+    line = content[at:end].rstrip(b"\r")
+    # a version block has a version 1 header, whatever follows it
+    return end, header(line, 1 if line.startswith(b"filedesc:") else version)
+
+
 def records(name: str, content: bytes | None) -> Iterator[tuple]:
     """Rows of ``SCHEMA`` from one archive."""
-    content = inflate(content or b"")
-    at, version, position = 0, 1, 0
+    version, position = 1, 0
 
     def row(kind: str, url: str | None, date: str | None, ip: str | None, media: str | None, block: bytes) -> tuple:
+        nonlocal position
+        position += 1
         d = digest(block)
-        return name, position, kind, identifier(name, url or "", date or "", d), url, date, ip, media, len(block), d, block
+        return name, position - 1, kind, identifier(name, url or "", date or "", d), url, date, ip, media, len(block), d, block
 
-    while at < len(content):
-        if content[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
-        end = content.find(b"\n", at)
-        end = len(content) if end < 0 else end
-        line = content[at:end].rstrip(b"\r")
-        # a version block has a version 1 header, whatever follows it
-        found = header(line, 1 if line.startswith(b"filedesc:") else version)
-        if found is None or end + 1 + found[4] > len(content):
-            bad = line if found is None else content[at:]
-            yield row("error", None, None, None, None, bad)
-            position += 1
-            at = end + 1 if found is None else len(content)
-            while at < len(content):  # on to the next line that is a header
-                end = content.find(b"\n", at)
-                end = len(content) if end < 0 else end
-                if header(content[at:end].rstrip(b"\r"), version) is not None:
-                    break
-                at = end + 1
+    for good, piece in unpacked(content or b""):
+        if not good:
+            yield row("error", None, None, None, None, piece)
             continue
-        url, ip, date, media, size = found
-        block = content[end + 1 : end + 1 + size]
-        if url.startswith("filedesc:"):
-            version = version_of(block) or version
-        yield row(kind_of(url, block), url, date, ip, media, block)
-        position += 1
-        at = end + 1 + size
+        at = 0
+        while at < len(piece):
+            if piece[at : at + 1] in (b"\n", b"\r"):
+                at += 1
+                continue
+            end, found = found_at(piece, at, version)
+            if found is None or end + 1 + found[4] > len(piece):
+                begin, at = at, end + 1
+                while at < len(piece):  # on to the next line that is a header
+                    end, found = found_at(piece, at, version)
+                    if found is not None:
+                        break
+                    at = end + 1
+                yield row("error", None, None, None, None, piece[begin:at])
+                continue
+            url, ip, date, media, size = found
+            block = piece[end + 1 : end + 1 + size]
+            if url.startswith("filedesc:"):
+                version = version_of(block) or version
+            yield row(kind_of(url, block), url, date, ip, media, block)
+            at = end + 1 + size
 
 
 def convert(files: DataFrame, name: str = "arc_file", content: str = "content") -> DataFrame:
@@ -190,7 +233,7 @@ def pages_to_arc(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
         version, name, out = 1 + number % 2, f"pages-{number}.arc", []
         body = f"{version} 0 quirefold\n{V1 if version == 1 else V2}\n".encode()
         out.append(f"filedesc://{name} 0.0.0.0 20000101000000 text/plain {len(body)}\n".encode() + body + b"\n")
-        rows = table.sort_by("page_id").to_pylist()
+        rows = table.sort_by([(c, "ascending") for c in ("page_id", "url", "html")]).to_pylist()
         for r in rows:
             i = r["page_id"]
             body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + (r["html"] or "").encode()
@@ -203,8 +246,8 @@ def pages_to_arc(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, archived as ARC of both versions, as WARC records; the block is given by its length and digest."""
-    return convert(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("block")
+    """All pages, archived as ARC of both versions, as WARC records: their fields, and their bytes in base 64."""
+    return convert(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumn("warc", F.translate(F.base64(as_warc()), "\r\n", "")).drop("block")
 
 
 def sql() -> str:
@@ -214,7 +257,7 @@ def sql() -> str:
     return f"""
 WITH p AS (SELECT *, page_id // {PER_FILE} AS number FROM pages WHERE page_id IS NOT NULL),
 blocks AS (
-  SELECT 'pages-' || number || '.arc' AS arc_file, row_number() OVER (PARTITION BY number ORDER BY page_id) AS position, 'response' AS warc_type,
+  SELECT 'pages-' || number || '.arc' AS arc_file, row_number() OVER (PARTITION BY number ORDER BY page_id, url, html) AS position, 'response' AS warc_type,
     replace(replace(replace(coalesce(url, 'unknown:'), chr(13), '%0D'), chr(10), '%0A'), ' ', '%20') AS target_uri,
     strftime(make_timestamp((946684800 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
     '10.' || (page_id // 65536 % 256) || '.' || (page_id // 256 % 256) || '.' || (page_id % 256) AS ip_address, 'text/html' AS content_type,
@@ -224,6 +267,9 @@ blocks AS (
     (1 + number % 2) || ' 0 quirefold' || chr(10) || CASE WHEN number % 2 = 0 THEN '{V1}' ELSE '{V2}' END || chr(10) FROM p),
 hashed AS (SELECT *, sha1(encode(b)) AS h, octet_length(encode(b)) AS content_length FROM blocks),
 done AS (SELECT *, {b32} AS block_digest FROM hashed),
-named AS (SELECT *, md5(arc_file || chr(10) || target_uri || chr(10) || warc_date || chr(10) || block_digest) AS m FROM done)
-SELECT arc_file, position, warc_type, '<urn:uuid:' || m[1:8] || '-' || m[9:12] || '-3' || m[14:16] || '-a' || m[18:20] || '-' || m[21:32] || '>' AS record_id,
-  target_uri, warc_date, ip_address, content_type, content_length, block_digest FROM named"""
+marked AS (SELECT *, md5(arc_file || chr(10) || target_uri || chr(10) || warc_date || chr(10) || block_digest) AS m FROM done),
+named AS (SELECT *, '<urn:uuid:' || m[1:8] || '-' || m[9:12] || '-3' || m[14:16] || '-a' || m[18:20] || '-' || m[21:32] || '>' AS record_id, chr(13) || chr(10) AS nl FROM marked)
+SELECT arc_file, position, warc_type, record_id, target_uri, warc_date, ip_address, content_type, content_length, block_digest,
+  base64(encode('WARC/1.0' || nl || 'WARC-Type: ' || warc_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Target-URI: ' || target_uri || nl || 'WARC-Date: ' || warc_date || nl
+    || 'WARC-IP-Address: ' || ip_address || nl || 'WARC-Block-Digest: ' || block_digest || nl || 'Content-Type: ' || CASE warc_type WHEN 'response' THEN 'application/http; msgtype=response' ELSE 'application/warc-fields' END || nl
+    || 'Content-Length: ' || content_length || nl || nl || b || nl || nl)) AS warc FROM named"""

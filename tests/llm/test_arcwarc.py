@@ -48,6 +48,29 @@ def test_damage():
     assert [r[2] for r in A.records("x.arc", b"\x00\xff nothing")] == ["error"]
 
 
+def test_damaged_members_cost_only_themselves():
+    parts = [gzip.compress(p) for p in archive(2, ENTRIES)]
+    broken = bytearray(parts[2])
+    broken[12:20] = b"\xff" * 8
+    rows = list(A.records("x.arc", b"".join([*parts[:2], bytes(broken), *parts[3:]])))
+    assert [r[2] for r in rows] == ["warcinfo", "response", "error", "metadata", "resource"] and rows[2][10] == bytes(broken)
+    plain = archive(2, ENTRIES)
+    mixed = list(A.records("x.arc", parts[0] + parts[1] + b"\0" * 9 + parts[2] + plain[3] + plain[4]))
+    assert [r[2:] for r in mixed] == [r[2:] for r in A.records("x.arc", b"".join(plain))]
+    cut = list(A.records("x.arc", parts[0] + parts[1] + parts[2][:-3] + parts[3] + parts[4][:20]))
+    assert [r[2] for r in cut][:4] == ["warcinfo", "response", "error", "metadata"]
+
+
+def test_damage_keeps_what_follows_and_all_its_bytes():
+    parts = archive(1, ENTRIES)
+    long = parts[1].replace(b" 31\n", b" 99999\n", 1)
+    assert long != parts[1]
+    rows = list(A.records("x.arc", parts[0] + long + parts[2] + b"no header\nnor this one\n" + parts[3]))
+    assert [r[2] for r in rows] == ["warcinfo", "error", "resource", "error", "metadata"]
+    assert rows[1][10] == long and rows[3][10] == b"no header\nnor this one\n"
+    assert [r[1] for r in rows] == list(range(5))
+
+
 def test_dates():
     assert A.iso_date("1996") == "1996-01-01T00:00:00Z" and A.iso_date("19960231000000") is None and A.iso_date("soon") is None
 

@@ -6,10 +6,17 @@ fullest is emitted first.  A full window is emitted at once.  A document longer
 and a rest.  What is open at a partition's end is merged: the leftovers of ``TOGETHER`` partitions are packed in the
 same manner, as if each were a document.
 
-Only documents' lengths, ids and places are kept, so the state and the one shuffle, that of the leftovers, are small.
+A window holds its token ids, packed in the fewest bits as ``tokenbits`` does, and says which part of which document
+stands where in it: segment i is ``lengths[i]`` tokens of ``doc_ids[i]`` from its token ``starts[i]`` on, and segments
+follow each other in the window.  The state is the open windows' tokens, ``OPEN`` x ``WINDOW`` ids; the one shuffle is
+that of the leftovers.
+
+Which documents share a window depends on how the input is split in partitions and on the order of rows in each; every
+token is in exactly one window whatever these are.
 
 Defined results: null and empty texts, with no tokens, are in no window; a null id stays null; repeated rows are packed
-again; an empty table gives no windows; only the id and text columns are read.
+again; windows with equal room are filled in order of their opening; an empty table gives no windows; only the id and
+text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -28,8 +35,10 @@ from . import textkernel as K
 from .store import cut
 
 WINDOW, OPEN, TOGETHER = 2048, 64, 64
-Segment = tuple[int | None, int, int]  # document, first token, tokens
-_SCHEMA = "part long, seq long, leftover boolean, n_tokens int, doc_ids array<long>, starts array<int>, lengths array<int>"
+#: Windows sent on at a time.
+AT_ONCE = 256
+Segment = tuple  # document, first token, number of tokens, and the ids where they are known
+_SCHEMA = "part long, seq long, leftover boolean, n_tokens int, doc_ids array<long>, starts array<int>, lengths array<int>, tokens binary"
 
 
 class Packer:
@@ -77,49 +86,63 @@ def pack_lengths(lengths: Iterable[tuple[int | None, int]], window: int = WINDOW
     return out, p.rest()
 
 
-def _batch(part: int, first: int, windows: list[list[Segment]], leftover: bool) -> pa.RecordBatch:
+def _batch(part: int, first: int, windows: list[list[Segment]], leftover: bool, bits: int) -> pa.RecordBatch:
     n = len(windows)
     cols = [
         pa.array([part] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array([leftover] * n, pa.bool_()), pa.array([sum(s[2] for s in w) for w in windows], pa.int32()),
         *[pa.array([[s[i] for s in w] for w in windows], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))],
+        pa.array([tokenbits.pack(np.concatenate([s[3] for s in w]), bits) for w in windows], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "leftover", "n_tokens", "doc_ids", "starts", "lengths"])
+    return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "leftover", "n_tokens", "doc_ids", "starts", "lengths", "tokens"])
+
+
+def window_ids(row: dict, bits: int) -> np.ndarray:
+    """The token ids of a window."""
+    return tokenbits.unpack(row["tokens"], bits, row["n_tokens"])
 
 
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, most: int = OPEN, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """Windows: (window_id, n_tokens, n_docs, doc_ids, starts, lengths), the last three a segment each."""
-    name, _ = tokenbits.vocabulary_encoder(df.sparkSession, vocabulary)
+    """Windows: (window_id, n_tokens, n_docs, doc_ids, starts, lengths, bits, tokens), the three arrays with an entry a segment."""
+    name, size = tokenbits.vocabulary_encoder(df.sparkSession, vocabulary)
+    bits = tokenbits.bits_for(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, seq = TaskContext.get().partitionId(), Packer(window, most), 0
+        done: list[list[Segment]] = []
         for b in K.slices(batches):
-            ids, done = b.column(0).to_pylist(), []
-            sizes = [np.diff(off) for _, _, off in bpe.opened(name).encode(K.strings(b.column(1)))]
-            for doc, tokens in zip(ids, np.concatenate([np.zeros(0, np.int64), *sizes]).tolist(), strict=True):
-                for s in cut_up(doc, tokens, window):
-                    done.extend(packer.put(s[2], [s]))
-            yield _batch(part, seq, done, False)
-            seq += len(done)
-        yield _batch(part, seq, packer.rest(), True)
+            names = b.column(0).to_pylist()
+            for rows, ids, off in bpe.opened(name).encode(K.strings(b.column(1))):
+                for k, i in enumerate(range(rows.start, rows.stop)):
+                    for doc, begin, n in cut_up(names[i], int(off[k + 1] - off[k]), window):
+                        # a copy: a view would keep all ids of its chunk
+                        own = ids[off[k] + begin : off[k] + begin + n].astype(np.int32)
+                        done.extend(packer.put(n, [(doc, begin, n, own)]))
+                    if len(done) >= AT_ONCE:
+                        yield _batch(part, seq, done, False, bits)
+                        seq, done = seq + len(done), []
+        yield _batch(part, seq, done, False, bits)
+        yield _batch(part, seq + len(done), packer.rest(), True, bits)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["part", "seq", "n_tokens", "doc_ids", "starts", "lengths"]).to_pylist(), key=lambda r: (r["part"], r["seq"]))
+        table = table.sort_by([("part", "ascending"), ("seq", "ascending")])
         packer, done = Packer(window, most), []
-        for r in rows:
-            done.extend(packer.put(r["n_tokens"], list(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))))
-        return pa.Table.from_batches([_batch(key[0].as_py() | 1 << 30, 0, done + packer.rest(), False)])
+        for b in table.to_batches(max_chunksize=AT_ONCE):
+            for r in b.select(["n_tokens", "doc_ids", "starts", "lengths", "tokens"]).to_pylist():
+                ids = np.split(window_ids(r, bits).astype(np.int32), np.cumsum(r["lengths"])[:-1])
+                done.extend(packer.put(r["n_tokens"], list(zip(r["doc_ids"], r["starts"], r["lengths"], ids, strict=True))))
+        return pa.Table.from_batches([_batch(key[0].as_py() | 1 << 30, 0, done + packer.rest(), False, bits)])
 
     source = df.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string"))
-    # one row a window, without its tokens; written once, as both halves below read it
+    # written once, as both halves below read it
     made = cut(source.mapInArrow(run, _SCHEMA))
     # partition numbers, not data, decide what is merged together
     merged = made.where("leftover").groupBy((F.col("part") / TOGETHER).cast("long").alias("group")).applyInArrow(merge, _SCHEMA)
     both = made.where("NOT leftover").unionByName(merged)
-    return both.select((F.shiftleft("part", 32) + F.col("seq")).alias("window_id"), "n_tokens", F.size("doc_ids").alias("n_docs"), "doc_ids", "starts", "lengths")
+    return both.select((F.shiftleft("part", 32) + F.col("seq")).alias("window_id"), "n_tokens", F.size("doc_ids").alias("n_docs"), "doc_ids", "starts", "lengths", F.lit(bits).alias("bits"), "tokens")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed in windows of 2048 tokens."""
+    """All documents packed in windows of 2048 tokens, with their ids."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -49,10 +49,21 @@ def places(rows):
 
 
 def covered(rows, docs):
-    tokens = {}
-    for r in bpe.encode(docs, bpe.compiled(docs)).select("doc_id", "n_tokens").collect():
+    """Asserts that every document can be put together again from the windows."""
+    tokens, whole = {}, {}
+    for r in bpe.encode(docs, bpe.compiled(docs)).select("doc_id", "n_tokens", "token_ids").collect():
         tokens.setdefault(r.doc_id, []).append(r.n_tokens)
-    got = places(rows)
+        whole.setdefault(r.doc_id, []).append(list(r.token_ids))
+    got, pieces = places(rows), {}
+    for r in rows:
+        ids, at = packing.window_ids(r.asDict(), r.bits).tolist(), 0
+        for d, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True):
+            pieces.setdefault(d, []).append((s, ids[at : at + n]))
+            at += n
+        assert at == len(ids)
+    for d, texts in whole.items():
+        want = [(b, t[b : b + packing.WINDOW]) for t in texts for b in range(0, len(t), packing.WINDOW)]
+        assert sorted(pieces.get(d, [])) == sorted(want)
     for d, sizes in tokens.items():
         assert sorted(got.get(d, [])) == sorted((b, min(packing.WINDOW, n - b)) for n in sizes for b in range(0, n, packing.WINDOW))
     assert set(got) <= set(tokens)

@@ -7,8 +7,9 @@ for in the graph so far and compared with itself, its links are chosen by the us
 ends pruned by it.  Search goes down the levels greedily and then widens to ``BEAM`` candidates at level 0.  Both run for
 many vectors at a time, each step an array operation over all of them.
 
-Similarity is the cosine.  Every vector is a query; its neighbours in every shard are merged to the ``NEAREST`` best,
-ties by id, itself left out.
+Similarity is the cosine.  Every vector is in a graph.  Queries are the vectors whose id ``every`` divides (all, where it
+is 1); a query's neighbours in every shard are merged to the ``NEAREST`` best, ties by id, itself left out.  Work is n log n
+for the graphs, and queries times shards for the search, in which each graph goes to as many parts as the queries need.
 
 Defined results: null ids, null or empty vectors, those with a null, infinite or undefined part, those of no length and
 those of another dimension than most are left out, as point and as query; of rows that repeat an id the first by its values
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .store import cut
 
 NEAREST, LINKS, BUILD_BEAM, BEAM = 10, 16, 64, 64
+#: The registered query asks for the vectors whose ids this divides, against all.
+EVERY = 50
 #: Vectors in a shard, about, and queries in a part.
 SHARD, BLOCK = 16_384, 16_384
 
@@ -223,13 +226,14 @@ def unit_vectors(df: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame,
     return cut(one.mapInArrow(run, "id long, unit binary")), dimension
 
 
-def neighbours(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
-    """(vec_id, rank, neighbour_id, similarity): the k nearest of every vector."""
+def neighbours(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, shard: int = SHARD, beam: int = BEAM, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbour_id, similarity): the k nearest, among all vectors, of those whose id ``every`` divides."""
     points, dimension = unit_vectors(df, vec_id, embedding)
-    n = points.count()
+    queries = points.where(F.pmod("id", F.lit(every)) == 0)
+    n, asked_for = points.count(), queries.count()
     shards = max(1, round(n / shard))
     # parts of the queries: enough to occupy the cluster, and each of a bounded size
-    parts = max(1, -(-n // BLOCK), min(-(-2 * df.sparkSession.sparkContext.defaultParallelism // shards), n // 512))
+    parts = max(1, -(-asked_for // BLOCK), min(-(-2 * df.sparkSession.sparkContext.defaultParallelism // shards), asked_for // 512))
 
     def make(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -253,12 +257,12 @@ def neighbours(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         return pa.table({"id": pa.array(out["id"], pa.int64()), "near": pa.array(out["near"], kind)})
 
     left = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = points.withColumn("part", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(find, "id long, near array<struct<far: double, id: long>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("rank", "x")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.round(-F.col("x.far"), 6).alias("similarity"))
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding."""
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The ten nearest neighbours, among all embeddings, of every embedding whose id 50 divides."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)

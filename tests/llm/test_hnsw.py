@@ -31,9 +31,13 @@ def test_embeddings(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     want = exact([r.vec_id for r in rows], np.array([r.embedding for r in rows]))
-    got = hnsw.op7_hnsw(spark, sf).collect()
+    got = hnsw.neighbours(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()
     assert len(got) == 10 * len(rows)
     assert recall(got, want) >= 0.9
+    asked = {i: w for i, w in want.items() if i % 50 == 0}
+    got = hnsw.op7_hnsw(spark, sf).collect()
+    assert {r.vec_id for r in got} == set(asked) and len(got) == 10 * len(asked)
+    assert recall(got, asked) >= 0.95
 
 
 def test_shards_are_merged(spark):

@@ -36,6 +36,14 @@ def append(df: DataFrame, text: str, fields: list[StructField], make: Callable[[
     return source.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with a prefix that makes them differ from every column of ``df``."""
+    taken, prefix = {c.lower() for c in df.columns}, "__"
+    while any(prefix + n.lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def dropping(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names in any case of letters."""
     gone = {n.lower() for n in names}

@@ -18,7 +18,7 @@ tables give empty results; extra columns pass through and those that clash with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField
 
 from . import features
 from . import textkernel as K
-from .columns import append, dropping
+from .columns import append, dropping, unused
 from .store import cut
 
 #: At most so many labelled texts train the model, in a pseudo-random order of their ids.
@@ -220,13 +220,13 @@ def lexicon_of(df: DataFrame, bad: int, good: int) -> Lexicon:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Model from at most ``sample`` labelled texts."""
+    """Model from at most ``sample`` labelled texts, one of each id: of several the least."""
     marks = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull())
     good = (F.col(quality) > 0) & (F.coalesce(F.col(toxic), F.lit(0)) < 1)
     marks = marks.groupBy(F.col(doc_id).alias("__id")).agg(F.min(good).alias("good"))
     # a bounded number of ids, so small enough to broadcast at any size of the corpus
     chosen = marks.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id", "text"])
+    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").groupBy("__id", "good").agg(F.min("text").alias("text")).select("__id", "text", "good")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     halves = {h: lexicon_of(got.where(F.col("half") != h), size(not h, False), size(not h, True)) for h in (True, False)}
     lexicon = lexicon_of(got, size(None, False), size(None, True))
     # the sample again, now with evidence from the other half's words
-    again = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id", "text"]).withColumn("half", F.xxhash64("__id", F.lit("half")) % 2 == 0)
+    again = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").groupBy("__id", "good").agg(F.min("text").alias("text")).select("__id", "text", "good").withColumn("half", F.xxhash64("__id", F.lit("half")) % 2 == 0)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
@@ -263,14 +263,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return fit(x[order], y[order], lexicon)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with ``quality_score``, the probability of being good, and ``kept``."""
+def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, names: Sequence[str] = ("quality_score", "kept")) -> DataFrame:
+    """``df`` with ``quality_score``, the probability of being good, and ``kept``, or by other names."""
 
     def make(texts: list[str]) -> list[pa.Array]:
         p = model.probability(featurise(texts, model.lexicon))
         return [pa.array(p), pa.array(p >= threshold)]
 
-    return append(df, text, [StructField("quality_score", DoubleType()), StructField("kept", BooleanType())], make)
+    return append(df, text, [StructField(names[0], DoubleType()), StructField(names[1], BooleanType())], make)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,5 +281,6 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps, with their own columns."""
-    return dropping(score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).where("kept"), "quality_score", "kept")
+    """The documents that the classifier keeps, with their own columns, whatever their names."""
+    own = unused(docs, "score", "kept")
+    return dropping(score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), names=own).where(F.col(own[1])), *own)

@@ -9,12 +9,12 @@ value, so that it lies in 0..1.
 Defined results: a null or empty text, or one without letters, has no n-grams and is rejected with a null
 language and distance 1; a tie between languages goes to the name first in order; repeated rows get equal
 results; an empty table gives an empty table; with no labelled language at all, every text is rejected; extra
-columns pass through and one that clashes with a new name is replaced.
+columns pass through and one that clashes with a new name is replaced; ``stage`` keeps every column as it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
 from . import textkernel as K
-from .columns import append, dropping
+from .columns import append, dropping, unused
+from .store import cut
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -32,9 +33,11 @@ PROFILE = 300
 PER_LANGUAGE = 2000
 #: A text farther than this from every language is rejected.  Few are (README): mixtures of known languages can lie nearer, and are kept.
 FARTHEST = 0.6
+#: Up to so many ids are broadcast to pick the texts of the sample; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _SPREAD, _MOD = 2654435761, 4294967291
 
-_NEW = [StructField("predicted_lang", StringType()), StructField("distance", DoubleType()), StructField("margin", DoubleType()), StructField("accepted", BooleanType())]
+_KINDS = [StringType(), DoubleType(), DoubleType(), BooleanType()]
 
 
 def grams(codes: np.ndarray, member: np.ndarray) -> np.ndarray:
@@ -88,7 +91,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     order = Window.partitionBy("lang").orderBy((F.pmod(F.col("id"), F.lit(_MOD)) * F.lit(_SPREAD)) % F.lit(_MOD), "id")
     # only ids are ranked; at most per_language ids of each language come back to pick the texts
     chosen = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).cast("long").alias("id")).distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).select("lang", "id")
-    sample = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), ["lang", "id"], "left_semi")
+    chosen = cut(chosen)
+    # size-checked: it grows with the names in ``lang``
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    sample = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(few, ["lang", "id"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[np.ndarray]] = {}
@@ -121,8 +127,8 @@ def distances(p: Profiles, keys: np.ndarray) -> np.ndarray:
     return np.where(known & (rank >= 0), np.abs(rank - np.arange(len(keys))), p.size).sum(axis=1)
 
 
-def identify(df: DataFrame, p: Profiles, text: str = "text", farthest: float = FARTHEST) -> DataFrame:
-    """``df`` with ``predicted_lang``, ``distance``, ``margin`` to the second language, and ``accepted``."""
+def identify(df: DataFrame, p: Profiles, text: str = "text", farthest: float = FARTHEST, names: Sequence[str] = ("predicted_lang", "distance", "margin", "accepted")) -> DataFrame:
+    """``df`` with ``predicted_lang``, ``distance``, ``margin`` to the second language, and ``accepted``, or by other names."""
 
     def make(texts: list[str]) -> list[list]:
         out: list[list] = [[], [], [], []]
@@ -139,7 +145,7 @@ def identify(df: DataFrame, p: Profiles, text: str = "text", farthest: float = F
                 o.append(v)
         return out
 
-    return append(df, text, _NEW, make)
+    return append(df, text, [StructField(n, k) for n, k in zip(names, _KINDS, strict=True)], make)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +156,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is recognised, with their own columns."""
-    return dropping(identify(docs, train(docs)).where("accepted"), "predicted_lang", "distance", "margin", "accepted")
+    """The documents whose language is recognised, with their own columns, whatever their names."""
+    own = unused(docs, "lang", "distance", "margin", "accepted")
+    return dropping(identify(docs, train(docs), names=own).where(F.col(own[3])), *own)
 
 
 def sql(size: int = PROFILE, per_language: int = PER_LANGUAGE, farthest: float = FARTHEST) -> str:

@@ -76,3 +76,38 @@ def test_labels_of_one_kind_or_none(spark):
     assert gam.score(docs, gam.train(docs, labels(spark, [(4, 1, 0)]))).where("quality_score = 1").count() == docs.count()
     assert gam.score(docs, gam.train(docs, labels(spark, [(4, 0, 0)]))).where("kept").count() == 0
     assert gam.score(docs, gam.train(empty(spark), labels(spark, [(4, 1, 0)]))).count() == docs.count()
+
+
+def test_query_by_hand(spark, sf):
+    """Each document's score from its own text: counts, bins and table entries one at a time."""
+    docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = gam.train(docs, marks)
+    want = {}
+    for r in docs.collect():
+        x = gam.featurise([r.text or ""], m.lexicon)[0]
+        p = 1 / (1 + np.exp(-by_hand(m, x)))
+        if p >= gam.THRESHOLD:
+            want[r.doc_id] = p
+    got = {r.doc_id: r.quality_score for r in gam.op1_quality_classifier(spark, sf).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-8 for i in want)
+
+
+def test_features_word_by_word(spark, sf):
+    """What a text is described by, against plain loops over its characters, words and lines."""
+    import unicodedata
+
+    from quirefold.llm import features
+    from quirefold.llm import textkernel as K
+
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][::7] + ["", "A a a B\nx\nx\n", "É1 é1 #$"]
+    for t, got in zip(texts, features.measure_texts(texts).tolist(), strict=True):
+        words, kind = K.word_list(t), [unicodedata.category(c) for c in t]
+        lines = [x for x in t.split("\n") if x]
+        want = {"n_chars": len(t), "n_letters": sum(k[0] == "L" for k in kind), "n_upper": kind.count("Lu"), "n_numbers": sum(k[0] == "N" for k in kind), "n_symbols": sum(c in features.SYMBOLS for c in t), "n_words": len(words), "n_repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)), "n_types": len(set(words)), "n_lines": len(lines), "n_repeated_lines": len(lines) - len(set(lines)), "n_word_chars": sum(map(len, words))}
+        assert {k: v for k, v in zip(features.NAMES, got, strict=True) if k in want} == want
+
+
+def test_one_text_of_each_id_trains(spark):
+    docs = spark.createDataFrame([(1, f"text number {k} of one id") for k in range(50)] + [(2, "another text")], "doc_id long, text string")
+    m = gam.train(docs, labels(spark, [(1, 1, 0), (2, 0, 0)]))
+    assert gam.score(docs, m).count() == 51

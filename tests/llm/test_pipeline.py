@@ -68,6 +68,15 @@ def test_stages_take_awkward_tables(spark, sf):
             f(spark, docs, sf).count()
 
 
+def test_stages_keep_columns_whose_names_clash(spark, sf):
+    clash = "doc_id long, text string, lang string, source string, n_chars long, KEPT string, quality_score int, __kept string, __score string, distance string, Margin string, accepted int, predicted_lang string, __gone string, id string, h1 string"
+    docs = spark.createDataFrame([(i, f"the cat and the dog sat on mat number {i} and the bird sang", "en", "s", 9, *[str(i)], i, *["x"] * 4, i, *["y"] * 4) for i in range(30)], clash)
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        after = f(spark, docs, sf)
+        assert after.columns == docs.columns and after.exceptAll(docs).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
 def test_catalogue(sf):
     assert sorted(int(q[2:].split("_")[0]) for q in catalog.QUERIES) == list(range(1, 11))
     assert set(catalog.SQL) <= set(catalog.QUERIES)

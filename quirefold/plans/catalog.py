@@ -1,6 +1,6 @@
 """Every query of the library, and its SQL where there is any."""
 
-from . import documents, grids, texts
+from . import documents, glyphs, grids, texts
 
-QUERIES = texts.QUERIES | grids.QUERIES | documents.QUERIES
-SQL = texts.SQL | grids.SQL | documents.SQL
+QUERIES = texts.QUERIES | grids.QUERIES | documents.QUERIES | glyphs.QUERIES
+SQL = texts.SQL | grids.SQL | documents.SQL | glyphs.SQL

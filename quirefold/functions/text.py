@@ -162,8 +162,17 @@ def means_same_but_numbers(a: C, b: C) -> Column:
 
 
 def masked_numbers(text: C) -> Column:
-    """The words joined, each number as ``#``: equal exactly where ``means_same_but_numbers`` holds, so fit for an equi-join."""
-    return F.array_join(F.transform(split_words(text), lambda w: F.when(is_number_in_any_system(w), "#").otherwise(F.concat(F.lit("="), w))), "\u0001")
+    """The text with each number as one sign and the blanks between words made equal; null as empty.
+
+    Equal where ``means_same_but_numbers`` holds, so fit for an equi-join; three passes over the text, none over its words.
+    """
+    roman = ROMAN[1:-1].replace("(?=.)", "(?=[MDCLXVI])")
+    number = rf"(?<![^{SEPARATOR}])(?:[0-9]+|{roman}|{roman.lower()})(?![^{SEPARATOR}])"
+    word, sign = rf"[^{SEPARATOR}]", rf"(?:(?![{BLANK}])[{SEPARATOR}])"
+    masked = F.regexp_replace(F.coalesce(col(text), F.lit("")), number, "\uf8fe")
+    # blanks at the ends of a run of signs, and of the text
+    trimmed = F.regexp_replace(masked, rf"(?<={word})[{BLANK}]+(?={sign})|(?<={sign})[{BLANK}]+(?={word})|^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.regexp_replace(trimmed, rf"(?<={word})[{BLANK}]+(?={word})", " ")
 
 
 # --- dates

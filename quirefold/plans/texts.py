@@ -228,6 +228,10 @@ def case_class_tokens(spark: SparkSession, d: str) -> DataFrame:
 _PAGENO = f"len(list_filter(pp, lambda p: NOT {any_number_sql('p')} AND length(p) <> 1 AND NOT regexp_matches(p, '[a-zA-Z]'))) = 0 AND {any_number_sql('pp[len(pp)]')}"
 
 
+def page_number_sql(c: str) -> str:
+    return "(" + _PAGENO.replace("pp", f"(list_transform(string_split(regexp_replace({c}, '-+$', ''), '-'), lambda x: trim(x)))") + ")"
+
+
 @query("page_number_tokens", f"""{TOKENS}, s AS (SELECT token, n, list_transform(string_split(regexp_replace(token, '-+$', ''), '-'), lambda x: trim(x)) AS pp FROM tokens)
 SELECT token, n, {_PAGENO} AS page_number FROM s""")
 def page_number_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -60,10 +60,13 @@ def _ruled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return G.place(c, 5), G.rules(c, 5).withColumn("page_no", F.lit(0))
 
 
-@query("visual_sides", f"""{PARTS} SELECT doc_id, elem_idx, ({G.LEFT - 4} + {G.PITCH} * least(col, 5))::DOUBLE AS vis_left, ({G.LEFT - 4} + {G.PITCH} * (col + 1 + greatest(0, ceil((width - {G.PITCH - 2}) / {G.PITCH}.0))))::DOUBLE AS vis_right FROM elements WHERE width < {G.PITCH - 6}""")
+@query("visual_sides", f"""{PARTS}, last AS (SELECT doc_id, max("row") AS n FROM elements GROUP BY doc_id), ruled AS (SELECT doc_id, n, {G.LEFT - 4} + {G.PITCH} * unnest(range(6)) AS x, {G.TOP - 2} AS y, {G.TOP - 2} + {G.ROW} * (n + 1) AS y2 FROM last),
+beside AS (SELECT e.doc_id, e.elem_idx, max(CASE WHEN o."left" + o.width < e."left" THEN o."left" + o.width END) AS before, min(CASE WHEN o."left" > e."left" + e.width THEN o."left" END) AS after FROM elements e LEFT JOIN elements o ON o.doc_id = e.doc_id AND o.top = e.top GROUP BY ALL)
+SELECT e.doc_id, e.elem_idx, coalesce(max(CASE WHEN x < e."left" + 2 AND x > coalesce(before - 2, -1) THEN x END), CASE WHEN any_value(before) IS NULL THEN 0 ELSE (any_value(before) + any_value(e."left")) / 2 END)::DOUBLE AS vis_left,
+  coalesce(min(CASE WHEN x > e."left" + e.width - 2 AND x < coalesce(after + 2, 1e9) THEN x END), CASE WHEN any_value(after) IS NULL THEN 612 ELSE (any_value(after) + any_value(e."left" + e.width)) / 2 END)::DOUBLE AS vis_right
+FROM elements e JOIN ruled r ON r.doc_id = e.doc_id AND y < e.top AND y2 > e.top JOIN beside b ON b.doc_id = e.doc_id AND b.elem_idx = e.elem_idx GROUP BY e.doc_id, e.elem_idx""")
 def visual_sides(spark: SparkSession, d: str) -> DataFrame:
-    e, r = _ruled(spark, d)
-    return N.visual_sides(e, r).where(F.col("width") < G.PITCH - 6).select("doc_id", "elem_idx", "vis_left", "vis_right")
+    return N.visual_sides(*_ruled(spark, d)).select("doc_id", "elem_idx", "vis_left", "vis_right")
 
 
 @query("visual_ends", f"""{PARTS}, n AS (SELECT doc_id, max("row") AS last FROM elements GROUP BY doc_id)
@@ -125,9 +128,9 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
 MERGED = f"""{LINES}, merged AS (SELECT *, text = '' AND "row" > 1 AS v, col = 2 AND "row" % 5 = 3 AS h FROM cells)"""
 
 
-@query("merged_cells", f"""{MERGED}, a AS (SELECT *, max(CASE WHEN NOT v THEN "row" END) OVER (PARTITION BY doc_id, col ORDER BY "row") AS at_row FROM merged),
-b AS (SELECT doc_id, "row", col, max(CASE WHEN NOT h THEN col END) OVER (PARTITION BY doc_id, "row" ORDER BY col) AS at_col FROM merged)
-SELECT a.doc_id, a."row", a.col, a.at_row, b.at_col, t.text AS merged_text FROM a JOIN b ON a.doc_id = b.doc_id AND a.at_row = b."row" AND a.col = b.col JOIN cells t ON t.doc_id = a.doc_id AND t."row" = a.at_row AND t.col = b.at_col""")
+@query("merged_cells", f"""{MERGED}, a AS MATERIALIZED (SELECT doc_id, "row", col, text, last_value(CASE WHEN NOT v THEN "row" END IGNORE NULLS) OVER (PARTITION BY doc_id, col ORDER BY "row") AS at_row, last_value(CASE WHEN NOT h THEN col END IGNORE NULLS) OVER (PARTITION BY doc_id, "row" ORDER BY col) AS h_col FROM merged),
+b AS MATERIALIZED (SELECT a.doc_id, a."row", a.col, a.at_row, o.h_col AS at_col FROM a JOIN a o ON a.doc_id = o.doc_id AND a.at_row = o."row" AND a.col = o.col)
+SELECT b.*, t.text AS merged_text FROM b JOIN a t ON t.doc_id = b.doc_id AND t."row" = b.at_row AND t.col = b.at_col""")
 def merged_cells(spark: SparkSession, d: str) -> DataFrame:
     return A.resolve_merged(_merged(spark, d)).select("doc_id", "row", "col", "at_row", "at_col", "merged_text")
 

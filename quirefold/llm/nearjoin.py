@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -158,16 +158,23 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def verified(leaders: np.ndarray, parts: np.ndarray, unit: tuple[int, int, int, int], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, similarity), x < y, of the pairs of sets of one unit that reach the threshold."""
     u, v, i, j = unit
-    size = np.array([len(s) for s in sets], np.float64)
-    common = overlaps(sets).astype(np.float64)
-    similar = common / (size[:, None] + size[None, :] - common)
-    ok = np.triu(similar >= threshold, 1)
-    if u != v:
-        ok &= leaders[:, None] != leaders[None, :]
-    if i != j:
-        ok &= parts[:, None] != parts[None, :]
-    x, y = np.nonzero(ok)
-    return x, y, similar[x, y]
+    size, common = np.array([len(s) for s in sets], np.int64), overlaps(sets)
+    wide, near, out = size.astype(np.float32), np.float32(threshold / (1 + threshold) * (1 - 1e-5)), []
+    for a in range(0, len(sets), 256):
+        b = min(a + 256, len(sets))
+        # about the threshold here, exactly below
+        ok = common[a:b, a:] >= near * (wide[a:b, None] + wide[None, a:])
+        if u != v:
+            ok &= leaders[a:b, None] != leaders[None, a:]
+        if i != j:
+            ok &= parts[a:b, None] != parts[None, a:]
+        x, y = np.nonzero(ok)
+        out.append((x[y > x] + a, y[y > x] + a))
+    x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
+    same = common[x, y].astype(np.int64)
+    similar = same / (size[x] + size[y] - same)
+    ok = similar >= threshold
+    return x[ok], y[ok], similar[ok]
 
 
 def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -188,6 +195,11 @@ def band(j: np.ndarray, threshold: float) -> np.ndarray:
     return np.clip(((j - threshold) * BANDS + 1e-9).astype(np.int64), 0, BANDS)
 
 
+def spread(work: DataFrame) -> GroupedData:
+    """The units, over all partitions: a unit's work grows with the square of its rows, so bytes say little about it."""
+    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u", "v", "i", "j").groupBy("u", "v", "i", "j")
+
+
 def estimate(member: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> float:
     """Least recall of any band that prefixes of this depth are estimated to reach, by the signatures of what they propose."""
 
@@ -201,7 +213,7 @@ def estimate(member: DataFrame, nodes: DataFrame, depth: int, threshold: float)
         at = band(j, threshold)
         return pa.table({"band": pa.array(range(BANDS + 1), pa.int32()), "n": pa.array(np.bincount(at, minlength=BANDS + 1), pa.int64()), "weight": pa.array(np.bincount(at, 1 / found_at(j, depth), BANDS + 1), pa.float64())})
 
-    work = member.join(nodes.select(F.col("h1").alias("id"), "sig"), "id").groupBy("u", "v", "i", "j")
+    work = spread(member.join(nodes.select(F.col("h1").alias("id"), "sig"), "id"))
     found = work.applyInArrow(check, "band int, n long, weight double").groupBy("band").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     seen = {r["band"]: r["n"] / r["weight"] for r in found.collect() if r["n"]}  # a row a band
     # of a band in which nothing was proposed, what its middle says
@@ -245,7 +257,7 @@ def work(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) ->
 
     hashed = docs.join(needed, "id", "left_semi").mapInArrow(sets, "h1 long, h2 long, shingles binary")
     one = hashed.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))  # rows that repeat a document
-    return member.join(one, ["h1", "h2"]).groupBy("u", "v", "i", "j")
+    return spread(member.join(one, ["h1", "h2"]))
 
 
 def checked(key: tuple, table: pa.Table, threshold: float) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ class DocumentFrame:
         return lines.group_texts(self.elements)
 
     def partitions(self) -> DataFrame:
-        return partition.partitions(self.elements)
+        return partition.partitions(self.elements, options=self.options)
 
     def layout(self) -> DataFrame:
         return layout.document_layout(self.elements, self.options)

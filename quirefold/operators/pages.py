@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..options import Options
 from . import lines as L
 
 LETTER = (612.0, 792.0)
@@ -102,12 +103,20 @@ def scannedness(elements: DataFrame) -> DataFrame:
     return per.select(*L.PAGE, (F.least("n", F.lit(10)) / 20).alias("scannedness"))
 
 
-def document_gates(elements: DataFrame, pages: DataFrame, allowed: float = 1.0, min_chars: int = 0) -> DataFrame:
-    """(doc_id, chars, scannedness, undigitised): images' share of the pages, and whether a document must be read from images."""
+def document_gates(elements: DataFrame, pages: DataFrame, allowed: float | None = None, min_chars: int = 0, options: Options | None = None) -> DataFrame:
+    """(doc_id, chars, scannedness, undigitised): images' share of the pages, and whether a document must be read from images.
+
+    It must where that share is above ``allowed`` (else the setting ``allowed_scannedness``), where it has fewer characters
+    than ``min_chars``, or where all its pages hold images alone.
+    """
+    allowed = (options or Options()).allowed_scannedness if allowed is None else allowed
     area = elements.where("kind = 'image'").groupBy(*L.PAGE).agg(F.sum(F.col("width") * F.col("height")).alias("a"))
     share = pages.join(area, list(L.PAGE), "left").groupBy("doc_id").agg(F.avg(F.least(F.coalesce("a", F.lit(0.0)) / (F.col("width") * F.col("height")), F.lit(1.0))).alias("scannedness"))
     chars = elements.groupBy("doc_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
-    return share.join(chars, "doc_id", "left").select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "scannedness", ((F.col("scannedness") > allowed) | (F.coalesce("chars", F.lit(0)) < min_chars)).alias("undigitised"))
+    worded = elements.groupBy(*L.PAGE).agg(F.bool_or(F.col("kind") == "image").alias("i"), F.bool_or(F.col("kind") == "text").alias("t")).groupBy("doc_id").agg(F.bool_and(F.col("i") & ~F.col("t")).alias("__only"))
+    both = share.join(chars, "doc_id", "left").join(worded, "doc_id", "left")
+    few = F.coalesce("chars", F.lit(0)) < min_chars
+    return both.select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "scannedness", ((F.col("scannedness") > allowed) | few | F.coalesce("__only", F.lit(False))).alias("undigitised"))
 
 
 def splice(elements: DataFrame, replaced: DataFrame) -> DataFrame:

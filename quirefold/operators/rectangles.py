@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..options import Options
+
 TOLERANCE = 2.0
 SCHEMA = "doc_id bigint, page_no int, rect_id int, polygon_id int, top double, left double, width double, height double, n_rows int, n_cols int"
 
@@ -65,8 +67,9 @@ def polygons(rects: list[tuple[float, float, float, float]]) -> list[int]:
     return [top(i) for i in range(len(rects))]
 
 
-def rectangles(rules: DataFrame, epsilon: float = 1.0) -> DataFrame:
+def rectangles(rules: DataFrame, epsilon: float | None = None, options: Options | None = None) -> DataFrame:
     """Closed rectangles of every page and the polygons that they form, from lines (doc_id, page_no, kind, top, left, stretch)."""
+    epsilon = (options or Options()).line_merge_epsilon if epsilon is None else epsilon
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v, h = rows[rows["kind"] == "vline"], rows[rows["kind"] == "hline"]
@@ -82,7 +85,7 @@ def rectangles(rules: DataFrame, epsilon: float = 1.0) -> DataFrame:
 
 
 def bounding_boxes(found: DataFrame) -> DataFrame:
-    """(doc_id, page_no, box_id, top, left, width, height) of polygons with at least two rows or columns."""
-    g = found.where("n_rows > 1 OR n_cols > 1").groupBy("doc_id", "page_no", F.col("polygon_id").alias("box_id"))
+    """(doc_id, page_no, box_id, top, left, width, height) of polygons with at least two rows and two columns."""
+    g = found.where("n_rows > 1 AND n_cols > 1").groupBy("doc_id", "page_no", F.col("polygon_id").alias("box_id"))
     edge = g.agg(F.min("top").alias("top"), F.min("left").alias("left"), F.max(F.col("left") + F.col("width")).alias("r"), F.max(F.col("top") + F.col("height")).alias("b"))
     return edge.select("doc_id", "page_no", "box_id", "top", "left", (F.col("r") - F.col("left")).alias("width"), (F.col("b") - F.col("top")).alias("height"))

@@ -7,9 +7,16 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 
+#: Settings of reading text from images.
+NEED_IMAGES = ("ocr_engine", "image_based_char_detection", "enable_hand_written_text_detection", "page_level_ocr", "pages_to_ocr", "scanned")
+
+
 @dataclass(frozen=True)
 class Options:
-    """All settings; None stands for the default of whatever reads it."""
+    """All settings; None stands for the default of whatever reads it.
+
+    Those that ask for reading images, for which there is no engine here, are refused when they are set.
+    """
 
     tabular_noise_patterns: tuple[str, ...] = ()
     semantic_jump_calculator: Callable | None = None
@@ -36,6 +43,12 @@ class Options:
     max_pages_allowed: int = 2**31 - 1
     compat_millions: bool = False
 
+    def __post_init__(self) -> None:
+        plain = {f.name: f.default for f in fields(self)}
+        asked = [n for n in NEED_IMAGES if getattr(self, n) != plain[n]]
+        if asked:
+            raise NotImplementedError(f"no engine reads images here: {', '.join(asked)}")
+
     def combine_and_override_with(self, other: Options) -> Options:
         """These settings with those of ``other`` that differ from the defaults."""
         plain = Options()

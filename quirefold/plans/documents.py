@@ -10,7 +10,7 @@ from ..sinks import html, visual_json
 from ..sources import grid as G
 from .grids import PARTS
 from ..operators import lines as L
-from .texts import WITH, Query, _elements, any_number_sql, mask_sql, page_number_sql
+from .texts import LINED, WITH, Query, _elements, any_number_sql, mask_sql, page_number_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -118,23 +118,35 @@ def rects(spark: SparkSession, d: str) -> DataFrame:
     return rectangles.rectangles(G.rules(c, 5).withColumn("page_no", F.lit(0))).select("doc_id", "top", "left", "width", "height", "n_rows", "n_cols")
 
 
-@query("visual_json_phrases")
+_PT = lambda c: f"({c})::DOUBLE::VARCHAR"
+_BOLD = "(regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[a-z]'))"
+_SEGMENT = f"""'{{"box":{{"b":' || {_PT("top + height")} || ',"l":' || {_PT('"left"')} || ',"r":' || {_PT('"left" + width')} || ',"t":' || {_PT("top")} || '}},"color":"#000000","fontFamily":"Courier","fontSize":10.0,"id":"' || elem_idx || '_0","styles":' || CASE WHEN {_BOLD} THEN '["bold"]' ELSE '[]' END || ',"text":' || to_json(text)::VARCHAR || '}}'"""
+
+
+@query("visual_json_phrases", f"""{LINED}, s AS (SELECT doc_id, page_no, grp, line, min(elem_idx) AS k, '{{"segments":[' || string_agg({_SEGMENT}, ',' ORDER BY elem_idx) || ']}}' AS j FROM grouped GROUP BY ALL),
+g AS (SELECT doc_id, page_no, grp, min(k) AS k, '{{"lines":[' || string_agg(j, ',' ORDER BY k) || ']}}' AS j FROM s GROUP BY ALL),
+p AS (SELECT doc_id, page_no, '{{"footerGroups":[],"groups":[' || string_agg(j, ',' ORDER BY k) || '],"headerGroups":[],"page":' || page_no || '}}' AS j FROM g GROUP BY doc_id, page_no)
+SELECT doc_id, '{{"pages":[' || string_agg(j, ',' ORDER BY page_no) || ']}}' AS json FROM p GROUP BY doc_id""")
 def visual_json_phrases(spark: SparkSession, d: str) -> DataFrame:
     return visual_json.phrases(_elements(spark, d))
 
 
-@query("visual_json_tables")
+@query("visual_json_tables", f"""{PARTS}, c AS (SELECT doc_id, "row", '{{"cells":[' || string_agg('{{"position":{{"col":' || col || ',"row":' || "row" || '}},"span":{{"columns":1,"rows":1}},"text":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY col) || ']}}' AS j FROM cells GROUP BY ALL),
+d AS (SELECT doc_id, string_agg(j, ',' ORDER BY "row") AS j, max("row") + 1 AS n FROM c GROUP BY doc_id), t AS (SELECT doc_id, string_agg('{{"index":' || col || ',"path":"' || text || '","title":"' || text || '"}}', ',' ORDER BY col) AS j FROM cells WHERE "row" = 0 GROUP BY doc_id)
+SELECT d.doc_id, 0 AS table_id, '{{"columns":[' || t.j || '],"data":[' || d.j || '],"id":0,"metadata":{{"columnHeaderCount":1,"columns":5,"currencyName":"DOLLAR","currencySymbol":"$","multiplicativeFactor":1,"rows":' || n || '}}}}' AS json FROM d JOIN t ON t.doc_id = d.doc_id""")
 def visual_json_tables(spark: SparkSession, d: str) -> DataFrame:
     return visual_json.tables(G.cells(spark.read.parquet(f"{d}/part.parquet"), "part"))
 
 
-@query("html_render")
+_E = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@query("html_render", f"""{WITH}, n AS (SELECT doc_id, page_no, string_agg('<div style="position:absolute;left:' || "left" || 'pt;top:' || top || 'pt;font-family:Courier;font-size:10pt;' || CASE WHEN {_BOLD} THEN 'font-weight:bold;' ELSE '' END || '">' || {_E} || '</div>', '' ORDER BY elem_idx) AS h FROM elements GROUP BY ALL)
+SELECT doc_id, '<html><body>' || string_agg('<div class="page" style="position:relative">' || h || '</div>', '' ORDER BY page_no) || '</body></html>' AS html FROM n GROUP BY doc_id""")
 def html_render(spark: SparkSession, d: str) -> DataFrame:
     return html.render(_elements(spark, d))
 
 
-_E = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
-
 
 @query("table_html", f"""WITH {G.cells_sql("orders")}, r AS (SELECT doc_id, "row", '<tr>' || string_agg(CASE WHEN "row" = 0 THEN '<th>' || {_E} || '</th>' ELSE '<td>' || {_E} || '</td>' END, '' ORDER BY col) || '</tr>' AS h FROM cells GROUP BY ALL)
 SELECT doc_id, '<table>' || string_agg(h, '' ORDER BY "row") || '</table>' AS html FROM r GROUP BY doc_id""")

@@ -85,7 +85,8 @@ def neighbours_below(spark: SparkSession, d: str) -> DataFrame:
     return N.neighbour_lists(e, "below").select("doc_id", "elem_idx", F.array_join("ids", ",").alias("ids"))
 
 
-@query("neighbours_right")
+@query("neighbours_right", f"""{ORDERS}, p AS (SELECT a.doc_id, a.elem_idx, c.elem_idx AS id, row_number() OVER (PARTITION BY a.doc_id, a.elem_idx ORDER BY c."left", c.elem_idx) AS k FROM elements a JOIN elements c ON a.doc_id = c.doc_id AND c."left" > a."left" + a.width AND c.top + c.height / 2 > a.top AND c.top + c.height / 2 < a.top + a.height)
+SELECT doc_id, elem_idx, id::VARCHAR AS ids FROM p WHERE k = 1""")
 def neighbours_right(spark: SparkSession, d: str) -> DataFrame:
     return N.neighbour_lists(_elements(spark, d, "orders"), "right").select("doc_id", "elem_idx", F.array_join("ids", ",").alias("ids"))
 
@@ -314,7 +315,9 @@ def continued_tables(spark: SparkSession, d: str) -> DataFrame:
     return A.merge_continued(cells, A.continued_tables(tables)).select("doc_id", "table_id", "row", "col", "text")
 
 
-@query("wrapped_row_merge")
+@query("wrapped_row_merge", f"""{PARTS}, l AS (SELECT doc_id, "row", col, CASE WHEN "row" % 3 = 2 AND col <> 1 THEN '' WHEN "row" % 3 = 2 THEN lower(text) ELSE text END AS text FROM cells), g AS (SELECT *, CASE WHEN "row" % 3 = 2 THEN "row" - 1 ELSE "row" END AS into_row FROM l),
+m AS (SELECT doc_id, into_row, col, coalesce(string_agg(nullif(text, ''), chr(10) ORDER BY "row"), '') AS text FROM g GROUP BY ALL)
+SELECT doc_id, 0 AS table_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY into_row) - 1 AS "row", col, text FROM m""")
 def wrapped_row_merge(spark: SparkSession, d: str) -> DataFrame:
     lowered = _cells(spark, d, "part").withColumn("text", F.when((F.col("row") % 3 == 2) & (F.col("col") != 1), "").otherwise(F.col("text")))
     return A.merge_wrapped(lowered.withColumn("text", F.when((F.col("row") % 3 == 2) & (F.col("col") == 1), F.lower("text")).otherwise(F.col("text"))))

@@ -10,14 +10,27 @@ from ..operators import algebra as A
 from ..operators import lines as L
 
 
-def segment() -> Column:
-    """The record of one segment; keys in order of the alphabet."""
-    f2 = T.floor2
+def segment(columns: list[str] | None = None) -> Column:
+    """The record of one segment; keys in order of the alphabet.
+
+    With the columns of a layout it holds borders, neighbours (the segment in each shadow), the visual span and the letter
+    spacing too.
+    """
+    have, f2, sides = set(columns or ()), T.floor2, (("b", "bottom", "below"), ("l", "left", "left"), ("r", "right", "right"), ("t", "top", "above"))
+    name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.col(c).cast("string"), F.lit("_0")))
     box = F.struct(f2(F.col("top") + F.col("height")).alias("b"), f2("left").alias("l"), f2(F.col("left") + F.col("width")).alias("r"), f2("top").alias("t"))
-    return F.struct(
-        box.alias("box"), T.hex_color(F.coalesce("rgb", F.lit(0))).alias("color"), F.col("font_family").alias("fontFamily"), F.col("font_size").alias("fontSize"),
-        F.concat(F.col("elem_idx").cast("string"), F.lit("_0")).alias("id"), F.array_sort(F.coalesce("styles", F.array().cast("array<string>"))).alias("styles"), F.col("text").alias("text"),
-    )
+    fields = []
+    if {f"border_{s}" for _, s, _ in sides} <= have:
+        fields.append(F.struct(*[F.coalesce(f"border_{s}", F.lit(False)).alias(k) for k, s, _ in sides]).alias("border"))
+    fields += [box.alias("box"), T.hex_color(F.coalesce("rgb", F.lit(0))).alias("color"), F.col("font_family").alias("fontFamily"), F.col("font_size").alias("fontSize"), F.concat(F.col("elem_idx").cast("string"), F.lit("_0")).alias("id")]
+    if "letter_spacing" in have:
+        fields.append(F.col("letter_spacing").alias("letterSpacing"))
+    if {f"shadow_{s}" for _, _, s in sides} <= have:
+        fields.append(F.struct(*[name(f"shadow_{s}").alias(k) for k, _, s in sides]).alias("neighbour"))
+    if {f"vis_{s}" for _, s, _ in sides} <= have:
+        fields.append(F.struct(*[f2(f"vis_{s}").alias(k) for k, s, _ in sides]).alias("span"))
+    fields += [F.array_sort(F.coalesce("styles", F.array().cast("array<string>"))).alias("styles"), F.col("text").alias("text")]
+    return F.struct(*fields)
 
 
 def group_name(partition: Column | str) -> Column:
@@ -32,7 +45,10 @@ def pages(elements: DataFrame, factor: float = L.FACTOR) -> DataFrame:
     ``partition``, where present, tells headers and footers.  Three aggregations on nested keys share one partitioning.
     """
     e = elements if "partition" in elements.columns else elements.withColumn("partition", F.lit("CONTENT"))
-    g = L.with_groups(L.with_lines(e), factor).withColumn("__s", segment())
+    # paragraphs that the layout found (vg_id) come before those by gaps, in order of their first segment
+    lined = L.with_lines(e)
+    g = L.with_groups(lined, factor) if "vg_id" not in e.columns else lined.withColumn("grp", F.coalesce("vg_id", F.lit(-1) - F.col("elem_idx")))
+    g = g.withColumn("__s", segment(e.columns))
     ordered = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
     lines = g.groupBy("doc_id", "page_no", "grp", "line").agg(F.first("partition").alias("partition"), F.min("elem_idx").alias("at"), ordered("elem_idx", "__s").alias("__s")).withColumn("__l", F.struct(F.col("__s").alias("segments")))
     groups = lines.groupBy("doc_id", "page_no", "grp").agg(F.min_by("partition", "at").alias("partition"), ordered("at", "__l").alias("__l"), F.min("at").alias("at")).withColumn("__g", F.struct(F.col("__l").alias("lines")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,9 @@ HEIGHT_VARIES, GAP_VARIES, ALIGN_GAP, ROW_VARIES, SLOPE = 0.4, 0.5, 5.0, 0.2, 0.
 ROW_GAP, ROW_GAP_GROWS, FONT_GROWS, JUMP, FIT = 100, 3, 1.4, 0.6, 4.0
 
 
+NONE = np.zeros(0)
+
+
 def digit_jump(above: list[str], row: list[str]) -> float:
     """How far the share of texts with digits changes from a row to the next."""
     share = lambda r: sum(any("0" <= c <= "9" for c in t) for t in r) / len(r) if r else 0.0
@@ -52,7 +55,15 @@ class Sheet:
         self.bottom, self.right = self.top + self.height, self.left + self.width
         self.text = ["" if t is None or t != t else str(t) for t in boxes["text"]]
         self.font, self.bold = num("font_size"), [s is not None and "bold" in list(s) for s in boxes["styles"]]
-        self.tops, self.tallest = self.top.tolist(), float(self.height.max(initial=0))
+        # the same as lists, for one element at a time
+        self.t, self.b, self.l, self.r, self.w, self.h_, self.ids = (x.tolist() for x in (self.top, self.bottom, self.left, self.right, self.width, self.height, self.idx))
+        self.centre, self.mid = (self.left + self.width / 2).tolist(), (self.top + self.height / 2).tolist()
+        self.tops, self.tallest = self.t, float(self.height.max(initial=0))
+        places = range(len(self.t))
+        self.by_top = sorted(places, key=lambda c: (self.t[c], self.centre[c], self.ids[c]))
+        self.by_bottom = sorted(places, key=lambda c: (-self.b[c], self.ids[c]))
+        self.by_bottom_centre = sorted(places, key=lambda c: (-self.b[c], self.centre[c], self.ids[c]))
+        self.bottoms = [-self.b[c] for c in self.by_bottom]
         lines = lambda k: rows[rows["kind"] == k][["left", "top", "stretch"]].fillna(0.0).to_numpy(float)
         self.v, self.h = lines("vline"), lines("hline")
         self.page_bottom = height if height is not None else max(792.0, float(self.bottom.max(initial=0)))
@@ -69,28 +80,29 @@ class Sheet:
 
     # --- searches
 
-    def window(self, lo: float, hi: float) -> np.ndarray:
+    def span(self, lo: float, hi: float) -> range:
         """Elements whose top lies strictly between."""
-        return np.arange(bisect_right(self.tops, lo), max(bisect_left(self.tops, hi), bisect_right(self.tops, lo)))
+        a = bisect_right(self.tops, lo)
+        return range(a, max(bisect_left(self.tops, hi), a))
 
     def on_line(self, a: int, b: int) -> bool:
         """Whether two elements share height."""
         least = 0.02 if "form" in (self.kind[a], self.kind[b]) else 0.0
-        return min(self.bottom[a], self.bottom[b]) - max(self.top[a], self.top[b]) > least * min(self.height[a], self.height[b])
+        return min(self.b[a], self.b[b]) - max(self.t[a], self.t[b]) > least * min(self.h_[a], self.h_[b])
 
     def on_column(self, a: int, b: int) -> bool:
-        return abs(self.left[a] - self.left[b]) <= min(self.width[a], self.width[b]) / 2
+        return abs(self.l[a] - self.l[b]) <= min(self.w[a], self.w[b]) / 2
 
-    def meets(self, c: np.ndarray, lo: float, hi: float) -> np.ndarray:
-        return c[((self.left[c] >= lo) & (self.left[c] < hi)) | ((self.left[c] <= lo) & (self.right[c] > lo))]
+    def meets(self, c: int, lo: float, hi: float) -> bool:
+        return lo <= self.l[c] < hi or self.l[c] <= lo < self.r[c]
 
     def share(self, a: int, b: int) -> float:
-        return max(min(self.right[a], self.right[b]) - max(self.left[a], self.left[b]), 0.0)
+        return max(min(self.r[a], self.r[b]) - max(self.l[a], self.l[b]), 0.0)
 
-    def most(self, found: np.ndarray, score: Callable[[int], float], same: Callable[[int, int], bool], skip_back: bool) -> int:
+    def most(self, found: Iterable[int], score: Callable[[int], float], same: Callable[[int, int], bool], skip_back: bool) -> int:
         """Of the first line of candidates, that with the highest score; -1 if there is none."""
         best, most, seen = -1, -1.0, []
-        for c in found.tolist():
+        for c in found:
             if seen:
                 last = seen[-1]
                 if skip_back and len(seen) > 1 and self.share(c, last) == 0 and self.share(c, seen[-2]) > 0:
@@ -103,22 +115,27 @@ class Sheet:
         return best
 
     def below(self, top: float, lo: float, hi: float, left: float, right: float) -> int:
-        found = self.meets(self.window(top + SEPARATION, top + REACH), lo, hi)
-        return self.most(found, lambda c: max(min(right, self.right[c]) - max(left, self.left[c]), 0.0), self.on_line, True)
+        found = (c for c in self.span(top + SEPARATION, top + REACH) if self.meets(c, lo, hi))
+        return self.most(found, lambda c: max(min(right, self.r[c]) - max(left, self.l[c]), 0.0), self.on_line, True)
+
+    def ending(self, by: list[int], ends: list[float], bottom: float) -> Iterator[int]:
+        """Elements that end above a bottom, within reach, in an order of falling bottoms (``ends``: their negatives)."""
+        for k in range(bisect_right(ends, SEPARATION - bottom), len(by)):
+            if self.b[by[k]] <= bottom - REACH:
+                return
+            if self.t[by[k]] < bottom:
+                yield by[k]
 
     def above(self, bottom: float, lo: float, hi: float, left: float, right: float) -> int:
-        c = self.window(bottom - REACH - self.tallest, bottom)
-        c = self.meets(c[(self.bottom[c] < bottom - SEPARATION) & (self.bottom[c] > bottom - REACH)], lo, hi)
-        c = c[np.lexsort((self.idx[c], -self.bottom[c]))]
-        return self.most(c, lambda x: max(min(right, self.right[x]) - max(left, self.left[x]), 0.0), self.on_line, True)
+        found = (c for c in self.ending(self.by_bottom, self.bottoms, bottom) if self.meets(c, lo, hi))
+        return self.most(found, lambda x: max(min(right, self.r[x]) - max(left, self.l[x]), 0.0), self.on_line, True)
 
     def beside(self, i: int, right: bool) -> int:
-        t, b = self.top[i], self.bottom[i]
-        c = self.window(t - REACH, max(b, t + 1e-9))
-        c = c[(self.top[c] >= t) | ((self.bottom[c] > t) & (self.bottom[c] < t + REACH))]
-        c = c[self.left[c] > self.right[i]] if right else c[self.right[c] < self.left[i]]
-        c = c[np.lexsort((self.idx[c], self.left[c] if right else -self.right[c]))]
-        return self.most(c, lambda x: max(min(b, self.bottom[x]) - max(t, self.top[x]), 0.0), self.on_column, False)
+        t, b, edge = self.t[i], self.b[i], self.r[i] if right else self.l[i]
+        # one that begins higher up than the tallest is high cannot reach this one
+        c = [c for c in self.span(max(t - REACH, t - self.tallest - 1), max(b, t + 1e-9)) if (self.t[c] >= t or t < self.b[c] < t + REACH) and (self.l[c] > edge if right else self.r[c] < edge)]
+        c.sort(key=(lambda x: (self.l[x], self.ids[x])) if right else (lambda x: (-self.r[x], self.ids[x])))
+        return self.most(c, lambda x: max(min(b, self.b[x]) - max(t, self.t[x]), 0.0), self.on_column, False)
 
     # --- alignment
 
@@ -127,10 +144,12 @@ class Sheet:
         for i in self.reading.tolist():
             if self.align[i, 1] != 0:
                 continue
-            run, last = [i], i
-            for c in self.meets(self.window(self.top[i] + ALIGNMENT, self.top[i] + REACH), self.left[i] - ALIGNMENT, self.right[i] + ALIGNMENT).tolist():
-                near = min(abs(self.left[c] - self.left[i]), abs(self.right[c] - self.right[i]), abs(self.left[c] + self.width[c] / 2 - self.left[i] - self.width[i] / 2))
-                if self.align[c, 1] != 0 or near >= ALIGNMENT or self.top[c] - self.bottom[last] > ALIGN_GAP * self.height[last]:
+            run, last, lo, hi, centre = [i], i, self.l[i] - ALIGNMENT, self.r[i] + ALIGNMENT, self.l[i] + self.w[i] / 2
+            for c in self.span(self.t[i] + ALIGNMENT, self.t[i] + REACH):
+                if not self.meets(c, lo, hi):
+                    continue
+                near = min(abs(self.l[c] - self.l[i]), abs(self.r[c] - self.r[i]), abs(self.l[c] + self.w[c] / 2 - centre))
+                if self.align[c, 1] != 0 or near >= ALIGNMENT or self.t[c] - self.b[last] > ALIGN_GAP * self.h_[last]:
                     break
                 run.append(c)
                 last = c
@@ -151,9 +170,11 @@ class Sheet:
             self.neighbours(i)
 
     def side(self, i: int) -> None:
-        t, b, l, r = self.top[i], self.bottom[i], self.left[i], self.right[i]
-        x, y, y2 = (self.v[:, 0], self.v[:, 1], self.v[:, 1] + self.v[:, 2]) if len(self.v) else (np.zeros(0),) * 3
-        cross = ((y > t - REACH) & (y < t) & (y2 > t) & (y2 < t + REACH)) | ((y > t) & (y < b) & (y2 > b) & (y2 < b + REACH))
+        t, b, l, r = self.t[i], self.b[i], self.l[i], self.r[i]
+        crossing = NONE
+        if len(self.v):
+            x, y, y2 = self.v[:, 0], self.v[:, 1], self.v[:, 1] + self.v[:, 2]
+            crossing = x[((y > t - REACH) & (y < t) & (y2 > t) & (y2 < t + REACH)) | ((y > t) & (y < b) & (y2 > b) & (y2 < b + REACH))]
         for name, other, mine, own_align, far in (("left", self.shadow["left"][i], l, self.align[i, 0], 0.0), ("right", self.shadow["right"][i], r, self.align[i, 1], self.page_width)):
             on_left, edge, aligned = name == "left", far, 0.0
             if other >= 0:
@@ -164,53 +185,56 @@ class Sheet:
             value = far
             if other >= 0 and o > 0:
                 value = min(a, o) + abs(a - o) / 2 if theirs == ours else (a if ours else o)
-            on = x[cross & (x < l + BORDER)] if on_left else x[cross & (x > r - BORDER)]
-            if other >= 0:
-                on = on[on > edge - BORDER] if on_left else on[on < edge + BORDER]
+            if len(crossing):
+                on = crossing[crossing < l + BORDER] if on_left else crossing[crossing > r - BORDER]
+                if other >= 0:
+                    on = on[on > edge - BORDER] if on_left else on[on < edge + BORDER]
+            else:
+                on = NONE
             if len(on):
                 value, self.ruled[name][i] = (on.max() if on_left else on.min()), True
             self.vis[name][i] = value
 
     def end(self, i: int) -> None:
-        t, b, l, r = self.top[i], self.bottom[i], self.left[i], self.right[i]
-        x, y = (self.h[:, 0], self.h[:, 1]) if len(self.h) else (np.zeros(0),) * 2
-        x2 = x + self.h[:, 2] if len(self.h) else x
-        over = ((x < l) & (x2 > l)) | ((x < r) & (x2 > r))
+        t, b, l, r = self.t[i], self.b[i], self.l[i], self.r[i]
         a, c = self.shadow["above"][i], self.shadow["below"][i]
-        lo, hi = (self.bottom[a] if a >= 0 else 0.0), (self.top[c] if c >= 0 else self.page_bottom)
-        up = y[over & (y > t - REACH) & (y < t) & ((lo <= 0) | (y > lo))]
-        down = y[over & (y > b) & (y < b + REACH) & (y < hi)]
+        lo, hi = (self.b[a] if a >= 0 else 0.0), (self.t[c] if c >= 0 else self.page_bottom)
+        up = down = NONE
+        if len(self.h):
+            x, y, x2 = self.h[:, 0], self.h[:, 1], self.h[:, 0] + self.h[:, 2]
+            over = ((x < l) & (x2 > l)) | ((x < r) & (x2 > r))
+            up = y[over & (y > t - REACH) & (y < t) & ((lo <= 0) | (y > lo))]
+            down = y[over & (y > b) & (y < b + REACH) & (y < hi)]
         self.ruled["top"][i], self.ruled["bottom"][i] = len(up) > 0, len(down) > 0
         self.vis["top"][i] = up.max() if len(up) else min(lo, t) + abs(t - lo) / 2 if lo > 0 else 0.0
         self.vis["bottom"][i] = down.min() if len(down) else min(b, hi) + abs(hi - b) / 2
 
     def neighbours(self, i: int) -> None:
-        lo, hi, vt, vb = (self.vis[s][i] for s in ("left", "right", "top", "bottom"))
-        centre = lambda c: self.left[c] + self.width[c] / 2
-        middle = lambda c: self.top[c] + self.height[c] / 2
-        c = self.window(self.top[i] + SEPARATION, self.top[i] + REACH)
-        c = c[(centre(c) > lo) & (centre(c) < hi)]
-        self.near["below"][i] = self.apart(c[np.lexsort((self.idx[c], centre(c), self.top[c]))], self.left, self.right, self.on_line)
-        c = self.window(self.bottom[i] - REACH - self.tallest, self.bottom[i])
-        c = c[(self.bottom[c] < self.bottom[i] - SEPARATION) & (self.bottom[c] > self.bottom[i] - REACH) & (centre(c) > lo) & (centre(c) < hi)]
-        self.near["above"][i] = self.apart(c[np.lexsort((self.idx[c], centre(c), -self.bottom[c]))], self.left, self.right, self.on_line)
-        band = self.window(vt - self.tallest - 1, vb)
-        band = band[(middle(band) > vt) & (middle(band) < vb)]
-        c = band[self.left[band] > self.right[i]]
-        self.near["right"][i] = self.apart(c[np.lexsort((self.idx[c], middle(c), self.left[c]))], self.top, self.bottom, self.on_column)
-        c = band[self.right[band] < self.left[i]]
-        self.near["left"][i] = self.apart(c[np.lexsort((self.idx[c], middle(c), -self.right[c]))], self.top, self.bottom, self.on_column)
-
-    def apart(self, found: np.ndarray, lo: np.ndarray, hi: np.ndarray, same: Callable[[int, int], bool]) -> list[int]:
+        lo, hi, vt, vb = (float(self.vis[s][i]) for s in ("left", "right", "top", "bottom"))
+        mid, centre = self.mid, self.centre
+        under = (self.by_top[k] for k in range(bisect_right(self.tops, self.t[i] + SEPARATION), bisect_left(self.tops, self.t[i] + REACH)))
+        self.near["below"][i] = self.apart((c for c in under if lo < centre[c] < hi), self.l, self.r, self.on_line)
+        over = self.ending(self.by_bottom_centre, self.bottoms, self.b[i])
+        self.near["above"][i] = self.apart((c for c in over if lo < centre[c] < hi), self.l, self.r, self.on_line)
+        band = [c for c in self.span(vt - self.tallest - 1, vb) if vt < mid[c] < vb]
+        after = sorted((c for c in band if self.l[c] > self.r[i]), key=lambda c: (self.l[c], mid[c], self.ids[c]))
+        self.near["right"][i] = self.apart(after, self.t, self.b, self.on_column)
+        before = sorted((c for c in band if self.r[c] < self.l[i]), key=lambda c: (-self.r[c], mid[c], self.ids[c]))
+        self.near["left"][i] = self.apart(before, self.t, self.b, self.on_column)
+
+    def apart(self, found: Iterable[int], lo: list[float], hi: list[float], same: Callable[[int, int], bool]) -> list[int]:
         """Candidates of the first two lines that do not overlap one taken before."""
         out: list[int] = []
         last, line = -1, 0
-        for c in found.tolist():
+        for c in found:
             if last >= 0 and not same(last, c):
                 line += 1
                 if line == 2:
                     break
-            if all(hi[c] < lo[o] or lo[c] > hi[o] for o in out):
+            for o in out:
+                if not (hi[c] < lo[o] or lo[c] > hi[o]):
+                    break
+            else:
                 out.append(c)
             last = c
         return out
@@ -227,13 +251,13 @@ class Sheet:
                 c = self.shadow["below"][last]
                 if c < 0 or self.kind[c] != "text" or self.kind[i] != "text" or self.group[c] >= 0 or c in run:
                     break
-                if self.ruled["top"][c] and not (self.options.detect_underline and self.vis["top"][c] - self.bottom[last] <= BORDER):
+                if self.ruled["top"][c] and not (self.options.detect_underline and self.vis["top"][c] - self.b[last] <= BORDER):
                     break
-                if not self.share(last, c) or not self.height[last] or abs(self.height[c] / self.height[last] - 1) > HEIGHT_VARIES:
+                if not self.share(last, c) or not self.h_[last] or abs(self.h_[c] / self.h_[last] - 1) > HEIGHT_VARIES:
                     break
-                new = self.top[c] - self.bottom[last]
+                new = self.t[c] - self.b[last]
                 if len(run) == 1:
-                    if new > self.options.positional_grouping_max_distance_factor * self.height[last]:
+                    if new > self.options.positional_grouping_max_distance_factor * self.h_[last]:
                         break
                 elif (gap == 0 and new != 0) or (gap != 0 and abs(new / gap - 1) > GAP_VARIES):
                     if new < gap:
@@ -255,37 +279,37 @@ class Sheet:
             return True
         if self.kind[other] != "text" or self.table[other] >= 0:
             return False
-        far = max(abs(self.left[i] - self.left[other]), 1e-9)
-        if abs(self.top[i] - self.top[other]) / far > SLOPE and abs(self.bottom[i] - self.bottom[other]) / far > SLOPE:
+        far = max(abs(self.l[i] - self.l[other]), 1e-9)
+        if abs(self.t[i] - self.t[other]) / far > SLOPE and abs(self.b[i] - self.b[other]) / far > SLOPE:
             a, b = self.groups[self.group[i]], self.groups[self.group[other]]
-            mid = lambda g: (self.top[g[0]] + self.bottom[g[-1]]) / 2
+            mid = lambda g: (self.t[g[0]] + self.b[g[-1]]) / 2
             return abs(mid(a) - mid(b)) / max(abs(self.left[a].min() - self.left[b].min()), 1e-9) <= SLOPE
-        return self.height[i] > 0 and abs(self.height[other] / self.height[i] - 1) <= ROW_VARIES
+        return self.h_[i] > 0 and abs(self.h_[other] / self.h_[i] - 1) <= ROW_VARIES
 
     def bounds(self, i: int) -> tuple[float, float]:
         """How far a column may reach at an element."""
         l, r = self.shadow["left"][i], self.shadow["right"][i]
-        wide = [c for c in self.near["below"][i] if self.width[c] > SMALL]
-        lo = self.vis["left"][i] if self.ruled["left"][i] else self.right[l] if l >= 0 else max([self.right[c] for c in wide if self.right[c] < self.left[i]], default=self.vis["left"][i])
-        hi = self.vis["right"][i] if self.ruled["right"][i] else self.left[r] if r >= 0 else min([self.left[c] for c in wide if self.left[c] > self.right[i]], default=self.vis["right"][i])
+        wide = [c for c in self.near["below"][i] if self.w[c] > SMALL]
+        lo = self.vis["left"][i] if self.ruled["left"][i] else self.r[l] if l >= 0 else max([self.r[c] for c in wide if self.r[c] < self.l[i]], default=self.vis["left"][i])
+        hi = self.vis["right"][i] if self.ruled["right"][i] else self.l[r] if r >= 0 else min([self.l[c] for c in wide if self.l[c] > self.r[i]], default=self.vis["right"][i])
         return lo, hi
 
     def wide_overlap(self, lo: float, hi: float, c: int) -> bool:
-        return c >= 0 and self.width[c] > SMALL and min(hi, self.right[c]) > max(lo, self.left[c]) + SMALL
+        return c >= 0 and self.w[c] > SMALL and min(hi, self.r[c]) > max(lo, self.l[c]) + SMALL
 
     def column(self, start: int, strict: bool) -> dict:
         """The elements under one that form a column with it, where the column ends, and whether it has company on the left."""
-        (lo, hi), left, right, run, i = self.bounds(start), self.left[start], self.right[start], [start], start
+        (lo, hi), left, right, run, i = self.bounds(start), self.l[start], self.r[start], [start], start
         ok_left = ok_right = True
         left_seen = 0
         stop = -1
         while True:
-            top = self.top[i]
+            top = self.t[i]
             c = self.below(top, lo, hi, left, right)
-            while c >= 0 and self.kind[c] == "text" and not max(min(self.right[c], right) - max(self.left[c], left), 0.0):
-                if self.width[c] > SMALL:
-                    lo, hi = (self.right[c], hi) if self.right[c] < left else (lo, self.left[c])
-                c = self.below(self.top[c] + SEPARATION, lo, hi, left, right)
+            while c >= 0 and self.kind[c] == "text" and not max(min(self.r[c], right) - max(self.l[c], left), 0.0):
+                if self.w[c] > SMALL:
+                    lo, hi = (self.r[c], hi) if self.r[c] < left else (lo, self.l[c])
+                c = self.below(self.t[c] + SEPARATION, lo, hi, left, right)
             stop = c
             if c < 0 or self.table[c] >= 0 or self.kind[c] != "text":
                 break
@@ -294,12 +318,12 @@ class Sheet:
                 ok_left, ok_right = ok_left and self.aligned(c, cl), ok_right and self.aligned(c, cr)
                 if not ok_left and not ok_right:
                     break
-            if self.left[c] >= lo - FIT and self.right[c] <= hi + FIT and not self.wide_overlap(left, right, cl) and not self.wide_overlap(left, right, cr):
+            if self.l[c] >= lo - FIT and self.r[c] <= hi + FIT and not self.wide_overlap(left, right, cl) and not self.wide_overlap(left, right, cr):
                 l2, h2 = self.bounds(c)
-                lo = max(lo, l2) if cl < 0 or self.width[cl] > SMALL else lo
-                hi = min(hi, h2) if cr < 0 or self.width[cr] > SMALL else hi
+                lo = max(lo, l2) if cl < 0 or self.w[cl] > SMALL else lo
+                hi = min(hi, h2) if cr < 0 or self.w[cr] > SMALL else hi
                 left_seen += cl >= 0 and ok_left
-                left, right = min(left, self.left[c]), max(right, self.right[c])
+                left, right = min(left, self.l[c]), max(right, self.r[c])
             elif any(re.fullmatch(p, self.text[c]) for p in self.options.tabular_noise_patterns) or self.noise & set(self.groups[self.group[c]]):
                 self.noise.add(c)
             else:
@@ -308,7 +332,7 @@ class Sheet:
             i = c
         if stop >= 0 and self.group[stop] >= 0 and run[-1] in self.groups[self.group[stop]]:
             stop = self.groups[self.group[stop]][0]
-        return {"run": run, "both": left_seen > 0, "boundary": self.page_bottom if stop < 0 else self.top[stop], "bottom": self.bottom[run[-1]]}
+        return {"run": run, "both": left_seen > 0, "boundary": self.page_bottom if stop < 0 else self.t[stop], "bottom": self.b[run[-1]]}
 
     def extent(self, first: dict) -> tuple[float, float, float, float]:
         """Top, right, bottom and left of the table that a first column begins."""
@@ -323,20 +347,20 @@ class Sheet:
                 for i in union:
                     o = self.shadow[direction][i]
                     if not self.aligned(i, o):
-                        limit = min(limit, self.left[i]) if direction == "right" else max(limit, self.right[i])
-                    elif start < 0 <= o and o not in tried and (self.right[i] < limit if direction == "right" else self.left[i] > limit):
+                        limit = min(limit, self.l[i]) if direction == "right" else max(limit, self.r[i])
+                    elif start < 0 <= o and o not in tried and (self.r[i] < limit if direction == "right" else self.l[i] > limit):
                         start = o
                 if start < 0:
                     break
                 tried.add(start)
                 c = self.column(start, False)
-                if self.left[start] > right if direction == "right" else self.right[start] < left:
+                if self.l[start] > right if direction == "right" else self.r[start] < left:
                     ends.append(c["boundary"])
                     deepest = max(deepest, c["bottom"])
                 # rows of the union are those of the new column where both have one
                 kept = [i for i in union if not any(self.on_line(i, j) for j in c["run"])]
-                union = sorted([*kept, *c["run"]], key=lambda i: (self.top[i], self.idx[i]))
-                union = [i for i in union if self.top[i] <= c["boundary"]]
+                union = sorted([*kept, *c["run"]], key=lambda i: (self.t[i], self.idx[i]))
+                union = [i for i in union if self.t[i] <= c["boundary"]]
                 if not union:
                     break
                 right, left = max(right, self.right[union].max()), min(left, self.left[union].min())
@@ -345,7 +369,7 @@ class Sheet:
             if k >= bad or e > deepest:
                 bottom = e
                 break
-        return self.top[run[0]] - SEPARATION, right, bottom, left
+        return self.t[run[0]] - SEPARATION, right, bottom, left
 
     def find_tables(self) -> list[list[int]]:
         """Tables in element order; gives the elements of each."""
@@ -371,8 +395,8 @@ class Sheet:
 
     def fill(self, top: float, right: float, bottom: float, left: float) -> tuple[dict[int, int], dict[int, int]] | None:
         """Row and column of each element of a table within bounds, or None where they make no table."""
-        inside = self.window(top - self.tallest - 1, bottom)
-        inside = [c for c in inside.tolist() if top < self.bottom[c] < bottom and self.right[c] > left and self.left[c] < right and self.kind[c] == "text" and self.table[c] < 0]
+        inside = self.span(top - self.tallest - 1, bottom)
+        inside = [c for c in inside if top < self.b[c] < bottom and self.r[c] > left and self.l[c] < right and self.kind[c] == "text" and self.table[c] < 0]
         rows: list[list[int]] = []
         widest = 0
         for c in inside:
@@ -381,7 +405,7 @@ class Sheet:
                 continue
             if rows:
                 last = rows[-1][-1]
-                gap = max(int(self.top[c] - self.top[last]), 1)
+                gap = max(int(self.t[c] - self.t[last]), 1)
                 across = self.page[c] != self.page[last]
                 most = ROW_GAP + (40 if across and self.options.enable_grid_based_table_detection else 0)
                 far = gap > most if across else gap > ROW_GAP or (widest > 0 and len(rows) > 1 and gap / widest > ROW_GAP_GROWS)
@@ -415,18 +439,18 @@ class Sheet:
 
     def columns(self, elements: list[int], row_of: dict[int, int]) -> dict[int, int] | None:
         """Column of each element, from left to right: a new one begins where most of those before end left of it."""
-        order = sorted(elements, key=lambda c: (self.left[c], self.top[c], self.idx[c]))
+        order = sorted(elements, key=lambda c: (self.l[c], self.t[c], self.idx[c]))
         rights: list[float] = []
         seen: set[int] = set()
         now, out = 0, {}
         for k, c in enumerate(order):
             if c not in self.noise:
-                room = self.width[c] - min(self.left[order[k + 1]] - self.left[c], self.width[c]) if k + 1 < len(order) else self.width[c] if not rights or self.left[c] > max(rights) else 0.0
-                ended = sum(r < self.left[c] for r in rights)
+                room = self.w[c] - min(self.l[order[k + 1]] - self.l[c], self.w[c]) if k + 1 < len(order) else self.w[c] if not rights or self.l[c] > max(rights) else 0.0
+                ended = sum(r < self.l[c] for r in rights)
                 if (ended == len(rights) or (room > 0 and rights and ended / len(rights) > 0.5)) and (len(rights) > 1 or row_of[c] in seen):
                     now, rights, seen = now + 1, [], set()
                 if self.text[c] not in ("$", "€"):
-                    rights.append(self.right[c])
+                    rights.append(self.r[c])
                     seen.add(row_of[c])
             out[c] = now
         return out if now else None

@@ -143,8 +143,11 @@ def test_json_and_html(spark, tmp_path):
 
 
 def test_options():
-    o = Options.from_json('[{"customizationType": "DisableTableDetection", "params": ["true"]}, {"customizationType": "TABULAR_NOISE_PATTERNS", "params": ["x+"]}, {"customizationType": "PagesToOcr", "params": ["1", "2"]}]')
-    assert o.disable_table_detection and o.tabular_noise_patterns == ("x+",) and o.pages_to_ocr == (1, 2)
+    o = Options.from_json('[{"customizationType": "DisableTableDetection", "params": ["true"]}, {"customizationType": "TABULAR_NOISE_PATTERNS", "params": ["x+"]}, {"customizationType": "MaxPagesAllowed", "params": ["7"]}]')
+    assert o.disable_table_detection and o.tabular_noise_patterns == ("x+",) and o.max_pages_allowed == 7
+    for asked in ('{"customizationType": "PagesToOcr", "params": ["1", "2"]}', '{"customizationType": "Scanned"}'):
+        with pytest.raises(NotImplementedError, match="images"):
+            Options.from_json(f"[{asked}]")
     assert Options.command_line().combine_and_override_with(Options(line_merge_epsilon=3.0)).line_merge_epsilon == 3.0
     with pytest.raises(ValueError, match="unknown"):
         Options.from_json('[{"customizationType": "Nothing"}]')

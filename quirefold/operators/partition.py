@@ -235,12 +235,10 @@ def bounds(elements: DataFrame, found: DataFrame, page_height: float = 792.0) ->
     """(doc_id, part, partition, first_page, last_page, top, bottom) of each partition, 2 points beyond its header or before its footer."""
     e = found.join(elements.select("doc_id", "page_no", "elem_idx", "top", F.coalesce("height", F.lit(0.0)).alias("height")), ["doc_id", "page_no", "elem_idx"])
     per = e.groupBy("doc_id", "part", "partition").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.max_by(F.col("top") + F.col("height"), "elem_idx").alias("end"), F.min_by("top", "elem_idx").alias("begin"))
-    head = per.where("partition = 'HEADER'").select("doc_id", F.col("last_page").alias("__p"), (F.col("end") + OFFSET).alias("h"))
-    foot = per.where("partition = 'FOOTER'").select("doc_id", F.col("last_page").alias("__p"), (F.col("begin") - OFFSET).alias("f"))
-    one = F.col("first_page") == F.col("last_page")
-    at = lambda side, page: (per["doc_id"] == side["doc_id"]) & (per[page] == side["__p"])
-    whole = per.join(head, at(head, "first_page"), "left").drop(head["doc_id"]).drop("__p")
-    whole = whole.join(foot, (whole["doc_id"] == foot["doc_id"]) & (whole["last_page"] == foot["__p"]), "left").drop(foot["doc_id"]).drop("__p")
-    top = F.when(F.col("partition") == "FOOTER", F.col("f")).when((F.col("partition") == "CONTENT") & one, F.coalesce("h", F.lit(0.0))).otherwise(0.0)
-    bottom = F.when(F.col("partition") == "HEADER", F.col("h")).when((F.col("partition") == "CONTENT") & one, F.coalesce("f", F.lit(page_height))).otherwise(page_height)
+    w = Window.partitionBy("doc_id", "last_page")
+    of = lambda name, c: F.max(F.when(F.col("partition") == name, c)).over(w)
+    whole = per.withColumns({"h": of("HEADER", F.col("end") + OFFSET), "f": of("FOOTER", F.col("begin") - OFFSET)})
+    one = (F.col("partition") == "CONTENT") & (F.col("first_page") == F.col("last_page"))
+    top = F.when(F.col("partition") == "FOOTER", F.col("f")).when(one, F.coalesce("h", F.lit(0.0))).otherwise(0.0)
+    bottom = F.when(F.col("partition") == "HEADER", F.col("h")).when(one, F.coalesce("f", F.lit(page_height))).otherwise(page_height)
     return whole.select("doc_id", "part", "partition", "first_page", "last_page", top.alias("top"), bottom.alias("bottom"))

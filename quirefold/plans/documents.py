@@ -110,6 +110,16 @@ def page_partitions(spark: SparkSession, d: str) -> DataFrame:
     return partition.partitions(_elements(spark, d)).select("doc_id", "page_no", "elem_idx", "partition")
 
 
+@query("partition_bounds", f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)},{_side_sql(False)},{_side_sql(True)},
+h AS (SELECT e.doc_id, e.page_no, arg_max(top + height, elem_idx) + 2 AS y FROM elements e SEMI JOIN head USING (doc_id, page_no, elem_idx) GROUP BY ALL), f AS (SELECT e.doc_id, e.page_no, arg_min(top, elem_idx) - 2 AS y FROM elements e SEMI JOIN foot USING (doc_id, page_no, elem_idx) GROUP BY ALL),
+c AS (SELECT DISTINCT e.doc_id, e.page_no FROM elements e ANTI JOIN head USING (doc_id, page_no, elem_idx) ANTI JOIN foot USING (doc_id, page_no, elem_idx))
+SELECT doc_id, page_no, 'HEADER' AS partition, 0.0::DOUBLE AS top, y::DOUBLE AS bottom FROM h UNION ALL SELECT doc_id, page_no, 'FOOTER', y, 792 FROM f
+UNION ALL SELECT c.doc_id, c.page_no, 'CONTENT', coalesce(h.y, 0), coalesce(f.y, 792) FROM c LEFT JOIN h ON h.doc_id = c.doc_id AND h.page_no = c.page_no LEFT JOIN f ON f.doc_id = c.doc_id AND f.page_no = c.page_no""")
+def partition_bounds(spark: SparkSession, d: str) -> DataFrame:
+    e = _elements(spark, d)
+    return partition.bounds(e, partition.partitions(e)).select("doc_id", F.col("first_page").alias("page_no"), "partition", "top", "bottom")
+
+
 @query("rectangles", f"""{PARTS}, n AS (SELECT doc_id, max("row") AS last FROM cells GROUP BY doc_id)
 SELECT doc_id, ({G.TOP - 2} + {G.ROW} * r)::DOUBLE AS top, ({G.LEFT - 4} + {G.PITCH} * c)::DOUBLE AS "left", {G.PITCH}::DOUBLE AS width, {G.ROW}::DOUBLE AS height, last + 1 AS n_rows, 5 AS n_cols
 FROM (SELECT *, unnest(range(last + 1)) AS r FROM n), (SELECT unnest(range(5)) AS c)""")

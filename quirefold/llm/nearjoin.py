@@ -146,8 +146,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[use], place[column[use]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width, out = max(256, (1 << 22) // g), np.zeros((g, g), np.float32)
-    for begin in range(0, int(several.sum()), width):
+    total, out = int(several.sum()), np.zeros((g, g), np.float32)
+    width = min(max(256, (1 << 22) // g), total)
+    for begin in range(0, total, max(width, 1)):
         a, b = np.searchsorted(column, [begin, begin + width])
         m = np.zeros((g, width), np.float32)
         m[owner[a:b], column[a:b] - begin] = 1
@@ -195,26 +196,48 @@ def band(j: np.ndarray, threshold: float) -> np.ndarray:
     return np.clip(((j - threshold) * BANDS + 1e-9).astype(np.int64), 0, BANDS)
 
 
-def spread(work: DataFrame) -> GroupedData:
-    """The units, over all partitions: a unit's work grows with the square of its rows, so bytes say little about it."""
-    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u", "v", "i", "j").groupBy("u", "v", "i", "j")
+def scattered(work: DataFrame) -> DataFrame:
+    """Units over all partitions: a unit's work grows with the square of its rows, so bytes say little about it."""
+    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u", "v", "i", "j")
 
 
 def estimate(member: DataFrame, nodes: DataFrame, depth: int, threshold: float) -> float:
     """Least recall of any band that prefixes of this depth are estimated to reach, by the signatures of what they propose."""
 
-    def check(key: tuple, table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
-        # a value at its place is an element, so equal signatures have all elements in common
-        tagged = list(sig.astype(np.uint64) + (np.arange(TREES * DEPTH, dtype=np.uint64) << np.uint64(32)))
-        unit = tuple(int(k.as_py()) for k in key)
-        s = verified(table.column("leader").to_numpy(), table.column("part").to_numpy(), unit, tagged, threshold / (2 - threshold))[2]
-        j = 2 * s / (1 + s)  # the share of places at which two signatures agree
-        at = band(j, threshold)
-        return pa.table({"band": pa.array(range(BANDS + 1), pa.int32()), "n": pa.array(np.bincount(at, minlength=BANDS + 1), pa.int64()), "weight": pa.array(np.bincount(at, 1 / found_at(j, depth), BANDS + 1), pa.float64())})
-
-    work = spread(member.join(nodes.select(F.col("h1").alias("id"), "sig"), "id"))
-    found = work.applyInArrow(check, "band int, n long, weight double").groupBy("band").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    keys = ["u", "v", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, weight = np.zeros(BANDS + 1, np.int64), np.zeros(BANDS + 1)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def close() -> None:
+            key, leader, part, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            # a value at its place is an element, so equal signatures have all elements in common
+            tagged = list(sig.astype(np.uint64) + (np.arange(TREES * DEPTH, dtype=np.uint64) << np.uint64(32)))
+            s = verified(leader, part, tuple(key[0].tolist()), tagged, threshold / (2 - threshold))[2]
+            j = 2 * s / (1 + s)  # the share of places at which two signatures agree
+            at = band(j, threshold)
+            n[:] += np.bincount(at, minlength=BANDS + 1)
+            weight[:] += np.bincount(at, 1 / found_at(j, depth), BANDS + 1)
+            held.clear()
+
+        for b in batches:  # sorted, so a unit's rows follow each other
+            key = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
+            leader, part = b.column(4).to_numpy(), b.column(5).to_numpy()
+            sig = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x < y:
+                    if held and (held[0][0][0] != key[x]).any():
+                        close()
+                    held.append((key[x:y], leader[x:y], part[x:y], sig[x:y]))
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(range(BANDS + 1), pa.int32()), pa.array(n), pa.array(weight)], names=["band", "n", "weight"])
+
+    # units in turn within a partition: most are small, and a call for each would cost more than its pairs
+    work = scattered(member.join(nodes.select(F.col("h1").alias("id"), "sig"), "id")).sortWithinPartitions(*keys).select(*keys, "leader", "part", "sig")
+    found = work.mapInArrow(run, "band int, n long, weight double").groupBy("band").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     seen = {r["band"]: r["n"] / r["weight"] for r in found.collect() if r["n"]}  # a row a band
     # of a band in which nothing was proposed, what its middle says
     return min(seen.get(k, found_at(min(1.0, threshold + (k + 0.5) / BANDS), depth)) for k in range(BANDS + 1))
@@ -240,7 +263,7 @@ def prepare(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame
     return docs, records, cut(sized.join(signed, ["h1", "h2"]))
 
 
-def work(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def work(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> GroupedData:
     """The units of work with the sets of their members."""
     member = forest(nodes, threshold, recall)
     member = member.join(nodes.select(F.col("h1").alias("id"), "h1", "h2", "least", "n"), "id")
@@ -257,7 +280,7 @@ def work(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) ->
 
     hashed = docs.join(needed, "id", "left_semi").mapInArrow(sets, "h1 long, h2 long, shingles binary")
     one = hashed.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))  # rows that repeat a document
-    return spread(member.join(one, ["h1", "h2"]))
+    return scattered(member.join(one, ["h1", "h2"])).groupBy("u", "v", "i", "j")
 
 
 def checked(key: tuple, table: pa.Table, threshold: float) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:

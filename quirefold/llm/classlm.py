@@ -419,4 +419,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the class model of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs)).select("doc_id", "n_words", "log_prob", "perplexity")
+    return score(docs, train(docs)).select("doc_id", "perplexity", "log_prob", "n_words")

@@ -155,3 +155,21 @@ def test_best_class_is_the_likeliest():
             _, c = classlm.best_classes(np.zeros(12, np.int64), np.repeat([0, 1], 6), tile, np.concatenate([right, left]), np.full(12, own), at(own), movable)
             value = [classlm.likelihood(at(k)) for k in range(movable)]
             assert value[c[0]] >= max(value) - 0.05 * (max(value) - min(value))
+
+
+def test_query_word_by_word(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = classlm.train(docs)
+    ids = {h: k for k, h in enumerate(model.known.tolist())}
+    got = {r.doc_id: r for r in classlm.op8_class_lm(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words, prior, total = K.word_list(r.text), len(ids) + 1, 0.0
+        for w in words:
+            k = ids.get(int(np.uint64(K.hash_word(w)).astype(np.int64)), len(ids))
+            total += model.transition[model.classes[prior], model.classes[k]] + model.emission[k]
+            prior = k
+        g = got[r.doc_id]
+        assert g.n_words == len(words) and math.isclose(g.log_prob, total, abs_tol=1e-9)
+        assert g.perplexity is None if not words else math.isclose(g.perplexity, math.exp(-total / len(words)))

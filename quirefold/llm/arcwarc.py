@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from base64 import b32encode
+from base64 import b32encode, b64encode
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 SCHEMA = "arc_file string, position long, warc_type string, record_id string, target_uri string, warc_date string, ip_address string, content_type string, content_length long, block_digest string, block binary"
 #: Pages in one archive of ``pages_to_arc``.
 PER_FILE = 256
+#: Bytes of blocks after which a batch of records is handed on.
+BATCH = 4 << 20
 V1, V2 = "URL IP-address Archive-date Content-type Archive-length", "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 GZIP = b"\x1f\x8b\x08"
 _DATE = re.compile(r"\d{4,14}$")
@@ -177,25 +179,39 @@ def records(name: str, content: bytes | None) -> Iterator[tuple]:
             at = end + 1 + size
 
 
-def convert(files: DataFrame, name: str = "arc_file", content: str = "content") -> DataFrame:
-    """WARC records of a table of archives, one archive a row; a map without a shuffle."""
+def warc(row: tuple) -> bytes:
+    """Bytes of a WARC record, from a row of ``SCHEMA``; ``as_warc`` gives the same."""
+    _, _, kind, record, url, date, ip, media, size, d, block = row
+    media = "application/http; msgtype=response" if kind == "response" else "application/warc-fields" if kind == "warcinfo" else "application/octet-stream" if media is None else media
+    fields = [("WARC-Type", "metadata" if kind == "error" else kind), ("WARC-Record-ID", record), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-IP-Address", ip), ("WARC-Block-Digest", d), ("Content-Type", media), ("Content-Length", size)]
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
+    return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def convert(files: DataFrame, name: str = "arc_file", content: str = "content", encoded: bool = False) -> DataFrame:
+    """WARC records of a table of archives, one archive a row; a map without a shuffle.
+
+    Where ``encoded``, the column ``warc`` takes the place of ``block``: the record's bytes in base 64.
+    """
+    schema = SCHEMA.replace("block binary", "warc string") if encoded else SCHEMA
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.string() if encoded else pa.binary()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for b in batches:
             for i in range(b.num_rows):
                 rows, size = [], 0
                 for r in records(b.column(0)[i].as_py() or "", b.column(1)[i].as_py()):
-                    rows.append(r)
+                    rows.append((*r[:-1], b64encode(warc(r)).decode()) if encoded else r)
                     size += r[8]
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    if size > BATCH:
+                        yield give(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield give(rows)
 
-    return files.select(F.col(f"`{name}`"), F.col(f"`{content}`")).mapInArrow(run, SCHEMA)
+    return files.select(F.col(f"`{name}`"), F.col(f"`{content}`")).mapInArrow(run, schema)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -247,7 +263,7 @@ def pages_to_arc(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, archived as ARC of both versions, as WARC records: their fields, and their bytes in base 64."""
-    return convert(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumn("warc", F.translate(F.base64(as_warc()), "\r\n", "")).drop("block")
+    return convert(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet")), encoded=True)
 
 
 def sql() -> str:

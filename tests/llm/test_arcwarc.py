@@ -1,5 +1,6 @@
 """ARC to WARC: round trips of both versions, damage, and the SQL."""
 
+import base64
 import gzip
 import hashlib
 
@@ -95,5 +96,7 @@ def test_awkward_pages(spark, tmp_path):
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
     assert head.startswith(b"WARC/1.0\r\n") and int(fields[b"Content-Length"]) == len(block) - 4 and hashlib.sha1(block[:-4]).digest()
+    both = found.select(A.as_warc().alias("w")).collect(), A.convert(spark.read.format("binaryFile").load(str(tmp_path / "*.arc*")).selectExpr("path AS arc_file", "content"), encoded=True).collect()
+    assert sorted(bytes(r.w) for r in both[0]) == sorted(base64.b64decode(r.warc) for r in both[1])
     clash = arcs.selectExpr("arc_file", "content", "1 AS position", "'x' AS block", "2 AS Warc_Type")
     assert A.convert(clash).count() == len(rows)

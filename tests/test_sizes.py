@@ -35,3 +35,20 @@ def test_tall_page_in_portions(monkeypatch):
     assert all((x != neighbours.NONE).any() for x in whole[0]) and all(any(x) for x in whole[1])
     monkeypatch.setattr(neighbours, "CELLS", 500)
     assert all(np.array_equal(x, f()) for x, f in zip(whole[0], ways, strict=True)) and whole[1] == [f() for f in lists]
+
+
+@pytest.mark.parametrize("name", ["glyph_filter", "font_normalised", "word_assembly", "justified_lines", "aligned_gaps"])
+def test_glyphs_are_made_once_and_not_shuffled(spark, sf, name):
+    """The texts are shuffled, not the glyphs that they give; fonts are found without a join."""
+    p = plan(spark, sf, name)
+    assert "Join" not in p and p.count("Exchange hashpartitioning") == 1 and p.count("posexplode") == 1
+
+
+def test_fonts_of_either_sign_and_none(spark):
+    from quirefold.operators import glyphs
+
+    rows = [(1, 0, 2, 5.0, "A", "Courier", 400.0, -10.0, 500.0, 5.0, 6.0), (1, 0, 1, 5.0, "b", "Courier", 400.0, 10.0, 500.0, 5.0, 6.0), (1, 0, 3, 5.0, "c", None, None, None, 0.0, 5.0, 6.0), (2, 0, 1, 5.0, "A", "Courier", 700.0, 10.0, 500.0, 5.0, 6.0)]
+    g = spark.createDataFrame(rows, "doc_id bigint, page_no int, seq bigint, x double, ch string, font_name string, font_weight double, font_size double, space_per_size double, space_width double, width double")
+    table = {(r.doc_id, r.font_name, s): (r.family, r.styles, r.size, r.space) for r in glyphs.font_table(g).collect() for s in r.sizes}
+    each = {(r.doc_id, r.font_name, r.font_size): (r.family, r.styles, r.size, r.space) for r in glyphs.with_fonts(g).collect()}
+    assert table == each and len(each) == 4 and table[1, "Courier", 10.0] == table[1, "Courier", -10.0]

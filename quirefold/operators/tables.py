@@ -9,7 +9,7 @@ place has one cell; a table without rows gives none; other columns pass.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +119,12 @@ def merge_narrow_columns(cells: DataFrame, headers: int = 1) -> DataFrame:
     next one after is then compared with the merged column.  One Arrow group a table, which its cells bound.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n_rows, n_cols = int(rows["row"].max()) + 1, int(rows["col"].max()) + 1
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        at_row, at_col, words, widths = (rows.column(c).to_pylist() for c in ("row", "col", "text", "width"))
+        n_rows, n_cols = max(at_row) + 1, max(at_col) + 1
         texts = [[[] for _ in range(n_cols)] for _ in range(n_rows)]
         narrow = [True] * n_cols
-        for r, c, t, w in zip(rows["row"], rows["col"], rows["text"], rows["width"], strict=True):
+        for r, c, t, w in zip(at_row, at_col, words, widths, strict=True):
             if t:
                 texts[r][c].append(t)
                 narrow[c] &= w <= NARROW
@@ -138,10 +139,12 @@ def merge_narrow_columns(cells: DataFrame, headers: int = 1) -> DataFrame:
                 narrow.pop(k + 1)
             else:
                 k += 1
-        return pd.DataFrame([(*key, r, c, "\t".join(t)) for r, row in enumerate(texts) for c, t in enumerate(row)], columns=["doc_id", "table_id", "row", "col", "text"])
+        r, c, joined = zip(*((r, c, "\t".join(t)) for r, row in enumerate(texts) for c, t in enumerate(row)), strict=True)
+        of = lambda k, name: pa.array([key[k].as_py()] * len(r), rows.schema.field(name).type)
+        return pa.table({"doc_id": of(0, "doc_id"), "table_id": of(1, "table_id"), "row": pa.array(r, pa.int32()), "col": pa.array(c, pa.int32()), "text": pa.array(joined, pa.string())})
 
-    source = _have(cells, width="double").select(*TABLE, "row", "col", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("width", F.lit(0.0)).alias("width"))
-    return source.groupBy(*TABLE).applyInPandas(run, "doc_id bigint, table_id int, row int, col int, text string")
+    source = _have(cells, width="double").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("table_id").cast("int").alias("table_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("width", F.lit(0.0)).alias("width"))
+    return source.groupBy(*TABLE).applyInArrow(run, "doc_id bigint, table_id int, row int, col int, text string")
 
 
 def total_rows(cells: DataFrame, headers: int = 1, lines_significant: bool = False, longest: int = LONGEST) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold.operators import neighbours
 from quirefold.plans import catalog
@@ -75,3 +76,29 @@ def test_hierarchy_of_one_long_table(spark):
     rows = spark.range(30000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("table_id"), F.col("id").cast("int").alias("row"), F.when(F.col("id") % 100 == 1, 36.0).otherwise(48.0).alias("left"), F.col("id").cast("string").alias("text"))
     got = {r.row: (r.level, r.parent, r.path) for r in algebra.hierarchy(rows).where("row IN (0, 1, 2, 29902, 29999)").collect()}
     assert got == {0: (0, None, "0"), 1: (0, None, "1"), 2: (0, None, "2"), 29902: (1, 29901, "29901/29902"), 29999: (1, 29901, "29901/29999")}
+
+
+@pytest.mark.parametrize("name", ["document_layout", "detect_tables"])
+def test_layouts_pass_as_arrow_in_one_shuffle(spark, sf, name):
+    """Documents are not pandas frames, and their elements are not shuffled anew to come together."""
+    p = plan(spark, sf, name)
+    assert "InPandas" not in p and "MapInArrow" in p
+    assert name != "document_layout" or p.count("Exchange hashpartitioning") == 1
+
+
+def test_layout_of_documents_over_many_batches(spark, sf):
+    """Documents that an Arrow batch cuts, or that hold many batches, are put together; null tops count as 0."""
+    from quirefold.operators import layout
+    from quirefold.plans import documents
+
+    e = documents._orders(spark, sf).where("doc_id < 4")
+    odd = e.select("doc_id", "elem_idx", "kind", "left", "width", "height", "text").where("doc_id = 1 AND elem_idx < 40").withColumn("doc_id", F.lit(-1)).withColumn("top", F.when(F.col("elem_idx") % 3 == 0, F.lit(None)).otherwise(F.col("elem_idx") * 2.0))
+    for elements in (e, odd):
+        whole = sorted(layout.document_layout(elements).collect())
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            assert sorted(layout.document_layout(elements).collect()) == whole and len(whole) == elements.count()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    part = {(r.doc_id, r.elem_idx): (r.vg_id, r.table_id) for r in layout.document_layout(e, columns=["vg_id", "table_id"]).collect()}
+    assert part == {(r.doc_id, r.elem_idx): (r.vg_id, r.table_id) for r in layout.document_layout(e).collect()}

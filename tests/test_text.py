@@ -90,3 +90,16 @@ def test_others(spark):
     assert one(spark, T.html_escape(F.lit("<a&'\">"))) == "&lt;a&amp;&#39;&quot;&gt;"
     assert one(spark, T.starts_as_header(F.lit("see http://a.b/c")))
     assert one(spark, T.continues_on_next_page(F.lit("Continued on next page")))
+
+
+def test_text_is_laid_out_in_one_pass(spark):
+    """Lines are cut once a text, and not by expressions that run over every sign; a text of many rows is passed on in parts."""
+    from quirefold.sources import text_layout
+
+    many = spark.createDataFrame([(1, "a"), (2, "a b  c\n" * 30000), (3, "z")], "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in text_layout.text_elements(many).groupBy("doc_id").agg(F.count("*"), F.max("elem_idx")).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 60000, 29999 * 80 + 1), (3, 1, 0)]
+    docs = spark.createDataFrame([(1, "a  b\n\n c\td \n" + "x" * 170), (2, None), (3, ""), (4, " \n"), (5, "e")], "doc_id long, text string")
+    p = text_layout.text_elements(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in p and "lambda" not in p
+    got = [(r.doc_id, r.elem_idx, r.page_no, r.top, r.left, r.width, r.text) for r in text_layout.text_elements(docs).orderBy("doc_id", "elem_idx").collect()]
+    assert got == [(1, 0, 0, 36.0, 72.0, 6.0, "a"), (1, 1, 0, 36.0, 90.0, 6.0, "b"), (1, 80, 0, 66.0, 78.0, 6.0, "c"), (1, 81, 0, 66.0, 96.0, 6.0, "d"), *[(1, 80 * k, 0, 84.0 + 12 * (k - 1), 72.0, 6.0 * n, "x" * n) for k, n in ((2, 80), (3, 80), (4, 10))], (5, 0, 0, 36.0, 72.0, 6.0, "e")]

@@ -175,6 +175,19 @@ def masked_numbers(text: C) -> Column:
     return F.regexp_replace(trimmed, rf"(?<={word})[{BLANK}]+(?={word})", " ")
 
 
+#: Signs that numbers and blanks consist of, and the one that stands for a number in ``masked_numbers``.
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_NUMERALS = "0123456789MDCLXVImdclxvi" + _BLANKS + "\uf8fe"
+
+
+def without_numerals(text: C) -> Column:
+    """The text without signs that numbers and blanks may consist of; null as empty.
+
+    Cheap, and equal wherever ``masked_numbers`` is, so it finds the few texts that are worth masking.
+    """
+    return F.translate(F.coalesce(col(text), F.lit("")), _NUMERALS, "")
+
+
 # --- dates
 
 

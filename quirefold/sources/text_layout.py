@@ -80,6 +80,20 @@ def layout_lines(docs: DataFrame) -> DataFrame:
     return _spread(docs, columns, _laid)
 
 
+def _followed(text: str) -> Iterator[tuple[int, str, str]]:
+    """Each line but the last of a layout, and the one after it."""
+    last = None
+    for line, (_, piece) in enumerate(_pieces(text)):
+        if last is not None:
+            yield line - 1, last, piece
+        last = piece
+
+
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text, after): lines of the layout with the text of the next one; the last has none, and gives no row."""
+    return _spread(docs, [StructField("line_no", IntegerType()), StructField("text", StringType()), StructField("after", StringType())], _followed)
+
+
 def _segments(text: str) -> Iterator[tuple[int, int, int, float, float, float, str]]:
     """Place of each segment of a text, and what it says."""
     for line, page, _, top, piece in _laid(text):

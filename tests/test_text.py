@@ -103,3 +103,30 @@ def test_text_is_laid_out_in_one_pass(spark):
     assert "MapInArrow" in p and "lambda" not in p
     got = [(r.doc_id, r.elem_idx, r.page_no, r.top, r.left, r.width, r.text) for r in text_layout.text_elements(docs).orderBy("doc_id", "elem_idx").collect()]
     assert got == [(1, 0, 0, 36.0, 72.0, 6.0, "a"), (1, 1, 0, 36.0, 90.0, 6.0, "b"), (1, 80, 0, 66.0, 78.0, 6.0, "c"), (1, 81, 0, 66.0, 96.0, 6.0, "d"), *[(1, 80 * k, 0, 84.0 + 12 * (k - 1), 72.0, 6.0 * n, "x" * n) for k, n in ((2, 80), (3, 80), (4, 10))], (5, 0, 0, 36.0, 72.0, 6.0, "e")]
+
+
+def test_numerals_left_out_agree_with_masks(spark):
+    """Texts of one mask are one without numerals, whatever blanks part them: so comparing these first leaves nothing out."""
+    every = spark.createDataFrame([(chr(c),) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "t string")
+    blanks = [r.t for r in every.where(F.regexp_like("t", F.lit(f"[{T.BLANK}]"))).collect()]
+    assert set(blanks) == set(T._BLANKS)
+    texts = [None, "", "Page 3 of 12", "Page IV of 7", "Page of", "", "7", "mix", "MIX", "dill 4", *[f"No{b}{n}{b}end{b}" for b in blanks for n in (1, 22, "xiv")]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.masked_numbers("t").alias("m"), T.without_numerals("t").alias("k")).collect()
+    assert all(a.k == b.k for a in rows for b in rows if a.m == b.m) and len({r.k for r in rows}) == 3
+
+
+@pytest.mark.parametrize("name", ["invariant_lines", "repeated_lines_across_pages"])
+def test_like_lines_are_found_without_a_join(spark, sf, name):
+    from quirefold.plans import texts
+
+    p = texts.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p and p.count("MapInArrow") == 1
+
+
+def test_repeated_lines_of_several_places(spark):
+    """The first of several near ones on the very next page counts; those of other pages, places and words do not."""
+    from quirefold.operators import pages
+
+    rows = [(1, 0, 0, 50.0, "Page 1"), (1, 0, 1, 400.0, "Page 9"), (1, 1, 5, 55.0, "Page  II"), (1, 1, 4, 60.0, "Page 2"), (1, 1, 6, 300.0, "Page 3"), (1, 3, 9, 55.0, "Page 4"), (1, 2, 7, 55.0, "Pages 4"), (None, 0, 0, 50.0, "Page 1"), (None, 1, 1, 50.0, "Page 1"), (2, 0, 0, None, "x 1"), (2, 1, 1, 50.0, "x 1")]
+    e = spark.createDataFrame(rows, "doc_id long, page_no int, elem_idx int, top double, text string").withColumn("left", F.lit(10.0)).withColumn("height", F.lit(10.0))
+    assert [tuple(r) for r in pages.repeated_across_pages(e).collect()] == [(1, 0, 0, 4)]

@@ -11,6 +11,7 @@ from ..operators import lines as L
 from ..operators import neighbours as N
 from ..operators import pages as P
 from ..operators import scans as O
+from ..sources import glyphs
 from ..sources import grid as G
 from ..sources import text_layout as S
 from .texts import LINED, WITH, Query, _elements
@@ -231,7 +232,8 @@ SELECT doc_id, page_no, phrase, string_agg(word, ' ' ORDER BY x, elem_idx, k) AS
 def ocr_phrases(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    e = _elements(spark, d)
+    # the segments are shuffled, not their words, which are many times larger
+    e = glyphs.by_document(_elements(spark, d).select("doc_id", "page_no", "elem_idx", "top", "left", "text"))
     w = e.select("doc_id", "page_no", "elem_idx", "top", "left", F.posexplode(F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1))).alias("k", "text"))
     n = F.length("text")
     before = F.coalesce(F.sum(n + 1 + F.when(n % 7 == 0, 5).otherwise(0)).over(Window.partitionBy("doc_id", "page_no", "elem_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .algebra import TABLE, drop_long_runs, header_confidence
+from .algebra import TABLE, drop_long_runs, header_counts, header_score
 
 LIMITS, LEAST_ROWS, VARIES, ROW_BASED = (0.4, 0.8, 0.6, 0.6), 2, 0.15, 0.5
 CONFIDENT, NARROW, LONGEST = 0.8, 10.8, 3
@@ -26,8 +26,8 @@ def _have(cells: DataFrame, **kinds: str) -> DataFrame:
     return cells.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in cells.columns})
 
 
-def row_votes(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_id, row, filled, style, regex, colour, font, fill, bold): how many cells of a row break with the one above.
+def row_votes(cells: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, table_id, row, filled, style, regex, colour, font, fill, bold, ``more``): how many cells of a row break with the one above.
 
     Styles and kinds are compared within a column.  Colour and filling are compared along the columns one after the other,
     so a column's first cell follows the last of the column before.  A font vote goes to a row higher than the one above
@@ -53,7 +53,7 @@ def row_votes(cells: DataFrame) -> DataFrame:
         "bold": styled & F.array_contains("styles", "bold"),
     }
     c = c.withColumns({f"__{k}": v for k, v in votes.items()})
-    return c.groupBy(*TABLE, "row").agg(F.count_if("full").alias("filled"), *[F.count_if(f"__{k}").alias(k) for k in votes])
+    return c.groupBy(*TABLE, "row").agg(F.count_if("full").alias("filled"), *[F.count_if(f"__{k}").alias(k) for k in votes], *more)
 
 
 def split_candidates(cells: DataFrame, row_based: DataFrame | None = None) -> DataFrame:
@@ -62,8 +62,20 @@ def split_candidates(cells: DataFrame, row_based: DataFrame | None = None) -> Da
     The products of shares are style x kind x bold, colour x bold, filling x kind and filling x style, against 0.4, 0.8, 0.6
     and 0.6.  In a row-based table a font vote, or 0.5 of the last product, is enough.
     """
-    size = cells.groupBy(*TABLE).agg((F.max("row") + 1).alias("__rows"), (F.max("col") + 1).alias("__cols"))
-    v = row_votes(cells).join(size, list(TABLE))
+    return _candidates(cells, row_based).select(*TABLE, "row", "p0", "p1", "p2", "p3")
+
+
+def _candidates(cells: DataFrame, row_based: DataFrame | None, judge: bool = False, header_rows: int = 1) -> DataFrame:
+    """Candidates of splits; if they are to be judged, with ``__c``, the confidence of a header of so many rows.
+
+    Sizes and headers are found from the rows of votes, by windows over the shuffle that these rest on: no cell is joined.
+    """
+    table = Window.partitionBy(*TABLE)
+    v = row_votes(cells, F.max("col").alias("__col"), *([F.struct(*header_counts()).alias("__head")] if judge else []))
+    v = v.withColumns({"__rows": F.max("row").over(table) + 1, "__cols": F.max("__col").over(table) + 1})
+    if judge:
+        scores = F.collect_list(header_score(lambda c: F.col(f"__head.{c}"))).over(table.orderBy("row").rangeBetween(0, header_rows - 1))
+        v = v.withColumn("__scores", scores)
     share = lambda c: F.try_divide(F.col(c), F.col("filled"))
     fill = F.col("fill") / F.col("__cols")
     v = v.withColumns({"p0": share("style") * share("regex") * share("bold"), "p1": share("colour") * share("bold"), "p2": fill * share("regex"), "p3": fill * share("style")})
@@ -73,7 +85,13 @@ def split_candidates(cells: DataFrame, row_based: DataFrame | None = None) -> Da
     if row_based is not None:
         v = v.join(row_based.select(*TABLE, F.lit(True).alias("__based")).distinct(), list(TABLE), "left")
         over = over | (F.coalesce("__based", F.lit(False)) & ((F.col("font") > 0) | F.coalesce(F.col("p3") >= ROW_BASED, F.lit(False))))
-    return v.where((F.col("row") >= LEAST_ROWS) & (F.col("row") < F.col("__rows") - 1) & over).select(*TABLE, "row", "p0", "p1", "p2", "p3")
+    found = v.where((F.col("row") >= LEAST_ROWS) & (F.col("row") < F.col("__rows") - 1) & over)
+    if not judge:
+        return found
+    # the mean of the rows before the first weak one
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    add = lambda a, x: F.struct((a["s"] + F.when(a["on"] & (x > 0), x).otherwise(0.0)).alias("s"), (a["n"] + (a["on"] & (x > 0)).cast("int")).alias("n"), (a["on"] & (x > 0)).alias("on"))
+    return found.withColumn("__c", F.aggregate("__scores", none, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0)))
 
 
 def split_confidence(headers: Column) -> Column:
@@ -89,16 +107,9 @@ def splits(cells: DataFrame, row_based: DataFrame | None = None, least: float =
 
     What stands below is judged by its first ``header_rows`` rows.  Apply it again to the lower part for further splits.
     """
-    found = split_candidates(cells, row_based)
     c = cells.withColumns({"highlighted": F.exists(F.coalesce("styles", F.array().cast("array<string>")), lambda s: s.isin("bold", "italic")), "coloured": F.coalesce(F.col("rgb") != 0, F.lit(False))}) if {"styles", "rgb"} <= set(cells.columns) else cells
-    # the candidates' own rows alone decide, so each is joined with its header rows and no more
-    tops = found.select(*TABLE, F.col("row").alias("__at"))
-    below = c.join(tops, list(TABLE)).where((F.col("row") >= F.col("__at")) & (F.col("row") < F.col("__at") + header_rows))
-    # a candidate is a table of its own while it is judged
-    own = below.withColumns({"__t": F.struct("table_id", "__at"), "row": F.col("row") - F.col("__at")}).drop("table_id").withColumnRenamed("__t", "table_id")
-    heads = own.select("doc_id", "table_id").distinct().withColumn("headers", F.lit(header_rows))
-    judged = header_confidence(own, heads).select("doc_id", F.col("table_id.table_id").alias("table_id"), F.col("table_id.__at").alias("row"), F.col("confidence").alias("__c"))
-    good = found.join(judged, [*TABLE, "row"]).where(F.col("__c") >= least).withColumn("confidence", split_confidence(F.col("__c")))
+    c = c.withColumns({f: F.lit(False) for f in ("highlighted", "coloured") if f not in c.columns})
+    good = _candidates(c, row_based, True, header_rows).where(F.col("__c") >= least).withColumn("confidence", split_confidence(F.col("__c")))
     return good.groupBy(*TABLE).agg(F.min("row").alias("row"), F.min_by("confidence", "row").alias("confidence"))
 
 

@@ -102,3 +102,23 @@ def test_layout_of_documents_over_many_batches(spark, sf):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     part = {(r.doc_id, r.elem_idx): (r.vg_id, r.table_id) for r in layout.document_layout(e, columns=["vg_id", "table_id"]).collect()}
     assert part == {(r.doc_id, r.elem_idx): (r.vg_id, r.table_id) for r in layout.document_layout(e).collect()}
+
+
+@pytest.mark.parametrize("name", ["merged_cells", "table_splits", "split_candidates", "ocr_phrases", "table_html", "row_delete_renumber"])
+def test_cells_and_words_are_shuffled_once_and_not_joined(spark, sf, name):
+    """What they are made of is shuffled, in a number of parts that goes with its size."""
+    p = plan(spark, sf, name)
+    assert "Join" not in p and p.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in p
+
+
+def test_splits_are_judged_by_several_header_rows(spark):
+    """The mean of a header's rows before the first weak one, as ``header_confidence`` gives it for the lower part alone."""
+    from quirefold.operators import algebra, tables
+
+    rows = [["a", "b", "c"], ["1", "2", "3"], ["d", "e", "f"], ["g", "h", "i"], ["4", "5", "6"], ["7", "8", "9"]]
+    c = spark.createDataFrame([(1, 0, r, k, t, ["bold"] if t.isalpha() else [], 0, 10.0) for r, row in enumerate(rows) for k, t in enumerate(row)], "doc_id long, table_id int, row int, col int, text string, styles array<string>, rgb int, height double")
+    for n in (1, 2, 3):
+        below = c.where("row >= 2").withColumn("row", F.col("row") - 2).withColumns({"highlighted": F.size("styles") > 0})
+        want = algebra.header_confidence(below, spark.createDataFrame([(1, 0, n)], "doc_id long, table_id int, headers int")).first().confidence
+        got = {r.row: r["__c"] for r in tables._candidates(c.withColumns({"highlighted": F.size("styles") > 0, "coloured": F.lit(False)}), None, True, n).collect()}
+        assert want > 0 and abs(got[2] - want) < 1e-12

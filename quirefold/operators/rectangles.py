@@ -7,10 +7,14 @@ counted.  Polygons of more than one cell are bounding boxes for what stands in t
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..options import Options
 
@@ -57,8 +61,14 @@ def polygons(rects: list[tuple[float, float, float, float]]) -> list[int]:
         return i
 
     near = lambda a, b: abs(a - b) <= TOLERANCE
+    # only those that begin beside or above a rectangle's edges can touch it
+    order = sorted(range(len(rects)), key=lambda k: rects[k][0])
+    tops = [rects[k][0] for k in order]
+    tallest = max((b - t for t, _, b, _ in rects), default=0.0)
     for i, (t, l, b, r) in enumerate(rects):
-        for j in range(i):
+        for j in sorted(order[bisect_left(tops, t - tallest - 2 * TOLERANCE) : bisect_right(tops, b + 2 * TOLERANCE)]):
+            if j >= i:
+                break
             t2, l2, b2, r2 = rects[j]
             side = (near(r, l2) or near(l, r2)) and min(b, b2) - max(t, t2) > TOLERANCE
             stacked = (near(b, t2) or near(t, b2)) and min(r, r2) - max(l, l2) > TOLERANCE
@@ -71,17 +81,27 @@ def rectangles(rules: DataFrame, epsilon: float | None = None, options: Options
     """Closed rectangles of every page and the polygons that they form, from lines (doc_id, page_no, kind, top, left, stretch)."""
     epsilon = (options or Options()).line_merge_epsilon if epsilon is None else epsilon
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v, h = rows[rows["kind"] == "vline"], rows[rows["kind"] == "hline"]
-        vs = merge_lines(np.stack([v["left"], v["top"], v["top"] + v["stretch"]], axis=1).astype(float), epsilon) if len(v) else np.zeros((0, 3))
-        hs = merge_lines(np.stack([h["top"], h["left"], h["left"] + h["stretch"]], axis=1).astype(float), epsilon) if len(h) else np.zeros((0, 3))
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        doc, page = (k.as_py() for k in key)
+        # an absent number is no place, and meets nothing
+        kinds, (top, left, stretch) = rows.column("kind").to_numpy(), (rows.column(c).to_numpy().astype(float) for c in ("top", "left", "stretch"))
+        v, h = kinds == "vline", kinds == "hline"
+        vs = merge_lines(np.stack([left[v], top[v], top[v] + stretch[v]], axis=1), epsilon) if v.any() else np.zeros((0, 3))
+        hs = merge_lines(np.stack([top[h], left[h], left[h] + stretch[h]], axis=1), epsilon) if h.any() else np.zeros((0, 3))
         rects = closed(hs, vs) if len(hs) and len(vs) else []
         label = polygons(rects)
-        count = lambda p, k: len({round(rects[i][k] / TOLERANCE) for i in range(len(rects)) if label[i] == p})
-        rows_, cols_ = {p: count(p, 0) for p in set(label)}, {p: count(p, 1) for p in set(label)}
-        return pd.DataFrame([(key[0], key[1], i, p, t, l, r - l, b - t, rows_[p], cols_[p]) for i, ((t, l, b, r), p) in enumerate(zip(rects, label, strict=True))], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
-
-    return rules.where("kind IN ('vline', 'hline')").select("doc_id", "page_no", "kind", "top", "left", "stretch").groupBy("doc_id", "page_no").applyInPandas(run, SCHEMA)
+        places: dict[int, tuple[set[int], set[int]]] = {}
+        for (t, l, _, _), p in zip(rects, label, strict=True):
+            rows_, cols_ = places.setdefault(p, (set(), set()))
+            rows_.add(round(t / TOLERANCE))
+            cols_.add(round(l / TOLERANCE))
+        found = [(doc, page, i, p, t, l, r - l, b - t, len(places[p][0]), len(places[p][1])) for i, ((t, l, b, r), p) in enumerate(zip(rects, label, strict=True))]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * len(schema), schema.types, strict=True)], schema=schema)
+
+    source = rules.where("kind IN ('vline', 'hline')").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), "kind", *[F.col(c).cast("double").alias(c) for c in ("top", "left", "stretch")])
+    return source.groupBy("doc_id", "page_no").applyInArrow(run, SCHEMA)
 
 
 def bounding_boxes(found: DataFrame) -> DataFrame:

@@ -171,10 +171,14 @@ def total_rows(cells: DataFrame, headers: int = 1, lines_significant: bool = Fal
     c = _have(cells, styles="array<string>", rgb="int", font_size="double", font_family="string", above_text="string", below_text="string", **dict.fromkeys(flags, "boolean")).where((F.col("row") >= headers) & (F.col("text") != ""))
     row, right = Window.partitionBy(*TABLE, "row"), Window.partitionBy(*TABLE, "row").orderBy("col")
     styles = F.array_sort(F.coalesce("styles", F.array().cast("array<string>")))
-    c = c.withColumns({"__num": F.max(((F.col("col") > 0) & (T.regex_type("text") == T.NUMERIC)).cast("int")).over(row) == 1, "__total": T.means_total("text") & F.coalesce(T.is_amount_representation(F.lead("text").over(right)), F.lit(False)), "__plain": F.max((F.size(styles) > 0).cast("int")).over(row) == 0, "__styles": styles}).where("__num")
+    # kinds are found once a cell; windows on a row come after that along it, whose order serves them too
+    c = c.withColumns({"__kind": T.regex_type("text"), "__styles": styles}).withColumn("__amount", T.is_amount_representation("text", F.col("__kind")))
+    c = c.withColumn("__total", T.means_total("text") & F.coalesce(F.lead("__amount").over(right), F.lit(False)))
+    c = c.withColumns({"__num": F.max(((F.col("col") > 0) & (F.col("__kind") == T.NUMERIC)).cast("int")).over(row) == 1, "__plain": F.max((F.size("__styles") > 0).cast("int")).over(row) == 0}).where("__num").drop("__kind")
     table, column = Window.partitionBy(*TABLE), Window.partitionBy(*TABLE, "col")
     ref = F.coalesce(F.min(F.when(F.col("__plain"), F.col("row"))).over(table), F.min("row").over(table))
-    c = c.withColumns({"__ref": ref, "__numeric_col": (F.col("col") > 0) & F.min(T.is_amount_representation("text").cast("int")).over(column).eqNullSafe(1), "__rows": F.size(F.collect_set("row").over(table))})
+    c = c.withColumns({"__ref": ref, "__rows": F.size(F.collect_set("row").over(table))})
+    c = c.withColumn("__numeric_col", (F.col("col") > 0) & F.min(F.col("__amount").cast("int")).over(column).eqNullSafe(1))
     look = F.struct("font_size", "font_family", F.coalesce("rgb", F.lit(0)).alias("rgb"), "__styles")
     c = c.withColumn("__look", F.max(F.when(F.col("row") == F.col("__ref"), look)).over(column))
     a = lambda f: F.col(f"__look.{f}")

@@ -130,3 +130,14 @@ def test_repeated_lines_of_several_places(spark):
     rows = [(1, 0, 0, 50.0, "Page 1"), (1, 0, 1, 400.0, "Page 9"), (1, 1, 5, 55.0, "Page  II"), (1, 1, 4, 60.0, "Page 2"), (1, 1, 6, 300.0, "Page 3"), (1, 3, 9, 55.0, "Page 4"), (1, 2, 7, 55.0, "Pages 4"), (None, 0, 0, 50.0, "Page 1"), (None, 1, 1, 50.0, "Page 1"), (2, 0, 0, None, "x 1"), (2, 1, 1, 50.0, "x 1")]
     e = spark.createDataFrame(rows, "doc_id long, page_no int, elem_idx int, top double, text string").withColumn("left", F.lit(10.0)).withColumn("height", F.lit(10.0))
     assert [tuple(r) for r in pages.repeated_across_pages(e).collect()] == [(1, 0, 0, 4)]
+
+
+def test_amounts_by_one_swap_are_those_by_two_kinds(spark):
+    """The first sign alone becomes a nought, line ends or not, and only once; a kind that is known is not found again."""
+    texts = [None, "", "$", "$5", "5%", "USD 7", "EUR", "a$", "5-3", "1-1-2020", "-1-1-2020", "12\n$3", "--", "€€", "_", "−4", "2020", "12/31/2020", "12.5", "1,000", " 2020 ", "3 4", "x", "0", "1996-03-13", "99 - 1 - 1"]
+    sign = r"^([\s\S]*?)(?:\$|%|USD|EUR|€|-|_|−)([\s\S]*)$"
+    c = F.col("t")
+    twice = F.when(F.regexp_like(c, F.lit(sign)), F.concat(F.regexp_extract(c, sign, 1), F.lit("0"), F.regexp_extract(c, sign, 2))).otherwise(c)
+    plain = F.regexp_like(T._date_text("t"), F.lit(T._DIGIT_DATE))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.is_amount_representation("t").alias("a"), T.is_amount_representation("t", T.regex_type("t")).alias("b"), ((T.regex_type("t") == T.NUMERIC) | (T.regex_type(twice) == T.NUMERIC)).alias("w"), T.is_numeric_date("t").alias("d"), plain.alias("p")).collect()
+    assert all(bool(r.a) == bool(r.b) == bool(r.w) and r.d == r.p for r in got) and sum(bool(r.a) for r in got) > 8

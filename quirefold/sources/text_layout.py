@@ -8,16 +8,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from ..functions.text import BLANKS, SEPARATOR_RE
 
 WRAP, PER_PAGE, PITCH, HEIGHT, CHAR, LEFT, TOP, LEAD, PAGE_WIDTH, PAGE_HEIGHT = 80, 24, 12, 10, 6, 72, 36, 18, 612, 792
 #: Rows that are passed on at once.
 ROWS = 20000
 _SEGMENT = re.compile("[^ ]+(?: [^ ]+)*")
+_WORD = re.compile(f"[0-9]+|[^0-9{SEPARATOR_RE}]+|[{SEPARATOR_RE}]+")
+_separates = cache(re.compile(f"[{SEPARATOR_RE}]").match)
 
 
 def _pieces(text: str) -> Iterator[tuple[int, str]]:
@@ -94,6 +101,50 @@ def line_pairs(docs: DataFrame) -> DataFrame:
     return _spread(docs, [StructField("line_no", IntegerType()), StructField("text", StringType()), StructField("after", StringType())], _followed)
 
 
+def _words(ids: pa.Array, at: list[int], lines: list[int], counts: list[int], found: list[str], names: list[str]) -> pa.RecordBatch:
+    """The runs ``found`` in lines, of which ``counts`` are in each, as words with their places; blank ones are left out."""
+    runs = pa.array(found, pa.string())
+    n, counts = pc.utf8_length(runs).to_numpy(), np.array(counts)
+    begin = np.cumsum(n) - n
+    begin -= np.repeat(begin[np.cumsum(counts) - counts], counts)
+    cut = pc.utf8_ltrim(runs, characters=BLANKS)
+    index = pa.array(begin.astype("int64") + n - pc.utf8_length(cut).to_numpy())
+    word = pc.utf8_rtrim(cut, characters=BLANKS)
+    is_word = pa.array([not _separates(x[0]) for x in found], pa.bool_())
+    columns = [ids.take(pa.array(np.repeat(np.array(at, "int32"), counts))), pa.array(np.repeat(np.array(lines, "int32"), counts)), index, word, is_word]
+    return pa.RecordBatch.from_arrays(columns, names=names).filter(pc.not_equal(word, ""))
+
+
+def layout_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, index, word, is_word): words of the layout's lines and the separators between them, as ``split_indexed_words`` with numbers.
+
+    They are cut as the text is laid out, and what a run of characters is, where it begins and what is blank of it is
+    found for all runs of a batch at once.
+    """
+    source = docs.where("text IS NOT NULL").select("doc_id", "text")
+    schema = StructType([source.schema["doc_id"], StructField("line_no", IntegerType()), StructField("index", LongType()), StructField("word", StringType()), StructField("is_word", BooleanType())])
+    names = schema.names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, lines, counts, found = batch.column(0), [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                for line, (_, piece) in enumerate(_pieces(text.as_py())):
+                    runs = _WORD.findall(piece)
+                    at.append(k)
+                    lines.append(line)
+                    counts.append(len(runs))
+                    found += runs
+                    if len(found) >= ROWS:
+                        # a long text is passed on in parts
+                        yield _words(ids, at, lines, counts, found, names)
+                        at, lines, counts, found = [], [], [], []
+            if found:
+                yield _words(ids, at, lines, counts, found, names)
+
+    return source.mapInArrow(run, schema)
+
+
 def _segments(text: str) -> Iterator[tuple[int, int, int, float, float, float, str]]:
     """Place of each segment of a text, and what it says."""
     for line, page, _, top, piece in _laid(text):

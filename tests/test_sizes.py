@@ -122,3 +122,19 @@ def test_splits_are_judged_by_several_header_rows(spark):
         want = algebra.header_confidence(below, spark.createDataFrame([(1, 0, n)], "doc_id long, table_id int, headers int")).first().confidence
         got = {r.row: r["__c"] for r in tables._candidates(c.withColumns({"highlighted": F.size("styles") > 0, "coloured": F.lit(False)}), None, True, n).collect()}
         assert want > 0 and abs(got[2] - want) < 1e-12
+
+
+def test_words_are_cut_as_texts_are_laid_out(spark, tmp_path):
+    """Neither lists of a line's words nor a pass over its words so far; rows as by SQL, for signs of every kind and a text of many batches."""
+    import duckdb
+
+    r = random.Random(5)
+    signs = [*"aB7.,-_$ \t\n\r\x0b\x0c\x01\x1c\x85é\xa0\xad½٣÷", *map(chr, (0x890, 0x180E, 0x2003, 0x200B, 0x2028, 0x3000, 0x3011, 0xE010, 0x13439, 0x1F600))]
+    texts = [None, "", " ", "a\u0890b", "a\u3000\x85", ("a1 " * 25 + "\n") * 1200, *("".join(r.choices(signs, k=r.randrange(400))) for _ in range(300))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.SQL["words_indexed"]).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["words_indexed"](spark, str(tmp_path)).collect())) == want and len(want) > 60000
+    p = plan(spark, str(tmp_path), "words_indexed")
+    assert "aggregate(" not in p and "Generate" not in p

@@ -73,13 +73,17 @@ def parted_header_cells(elements: DataFrame, headers: int = 1) -> DataFrame:
 def part_header_cells(elements: DataFrame, headers: int = 1) -> DataFrame:
     """Elements with ``col`` anew: parted header cells get columns of their own, and what stands below goes to the header it overlaps most."""
     e = elements if "table_id" in elements.columns else elements.withColumn("table_id", F.lit(0))
-    cut = parted_header_cells(e, headers).select(*TABLE, "elem_idx", F.lit(1).alias("cut"))
+    is_head, is_body = F.col("row") < headers, F.col("row") >= headers
     w = Window.partitionBy(*TABLE, "row").orderBy("left", "elem_idx")
-    new = F.col("cut").isNotNull() | (F.lag("col").over(w).isNull()) | (F.lag("col").over(w) != F.col("col"))
-    head = e.where(F.col("row") < headers).join(cut, [*TABLE, "elem_idx"], "left").withColumn("col2", (F.sum(new.cast("int")).over(w) - 1).cast("int"))
-    spans = head.groupBy(*TABLE, "col2").agg(F.min("left").alias("lo"), F.max(F.col("left") + F.col("width")).alias("hi"))
-    body = e.where(F.col("row") >= headers).select(*TABLE, "elem_idx", "left", "width").join(spans, TABLE)
-    o = F.least(F.col("left") + F.col("width"), F.col("hi")) - F.greatest("left", "lo")
-    best = body.groupBy(*TABLE, "elem_idx").agg(F.max_by("col2", F.struct(o, -F.col("col2"))).alias("col2"))
-    return e.join(best.unionByName(head.select(*TABLE, "elem_idx", "col2")), [*TABLE, "elem_idx"], "left").withColumn("col", F.coalesce("col2", "col")).drop("col2")
-
+    beside = e.withColumns({"__beside": F.lag("col").over(w), "__before": F.lag("text").over(w)})
+    # of one column, the element before in the row is the one before in the cell
+    cut = (F.col("__beside") == F.col("col")) & F.col("__before").isNotNull() & ~T.can_be_connected("__before")
+    new = cut | F.col("__beside").isNull() | (F.col("__beside") != F.col("col"))
+    placed = beside.withColumn("__col", F.when(is_head, F.sum(new.cast("int")).over(w) - 1).cast("int"))
+    # each header column's span, then all of a table's, handed down to what stands below: windows over the table's own rows, no join
+    column = Window.partitionBy(*TABLE, "__col")
+    spanned = placed.withColumns({"__lo": F.min("left").over(column), "__hi": F.max(F.col("left") + F.col("width")).over(column)})
+    spans = spanned.withColumn("__spans", F.collect_set(F.when(F.col("__col").isNotNull(), F.struct("__col", "__lo", "__hi"))).over(Window.partitionBy(*TABLE)))
+    overlap = lambda x: F.least(F.col("left") + F.col("width"), x["__hi"]) - F.greatest("left", x["__lo"])
+    best = -F.array_max(F.transform("__spans", lambda x: F.struct(overlap(x).alias("o"), (-x["__col"]).alias("k"))))["k"]
+    return spans.withColumn("col", F.coalesce(F.when(is_body, best).otherwise(F.col("__col")), "col")).select(*e.columns)

@@ -138,3 +138,41 @@ def test_words_are_cut_as_texts_are_laid_out(spark, tmp_path):
     assert sorted(map(tuple, catalog.QUERIES["words_indexed"](spark, str(tmp_path)).collect())) == want and len(want) > 60000
     p = plan(spark, str(tmp_path), "words_indexed")
     assert "aggregate(" not in p and "Generate" not in p
+
+
+def test_parted_headers_are_handed_down_without_a_join(spark, sf):
+    p = plan(spark, sf, "column_splitting")
+    assert "Join" not in p and p.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in p
+
+
+@pytest.mark.parametrize("headers", [1, 2])
+def test_parted_headers_by_brute_force(spark, headers):
+    """Tables with and without headers, headers in two rows, texts that go on, missing places and texts."""
+    from quirefold.operators import enrich
+
+    r = random.Random(11)
+    rows = [(doc, table, k, k // 6 + (doc == 3) * 2, r.randrange(4), r.choice([None, *(float(10 * x) for x in range(40))]), float(r.randrange(5, 90)), r.choice(["Name", "Name:", "This,", None])) for doc in range(12) for table in (0, 1) for k in range(30)]
+    want = {}
+    for doc, table in {x[:2] for x in rows}:
+        mine = sorted((x for x in rows if x[:2] == (doc, table)), key=lambda x: (x[3], x[5] is not None, x[5] or 0, x[2]))
+        spans, last = {}, None
+        for x in mine:
+            if x[3] < headers:
+                if last is None or last[3] != x[3]:
+                    k = 0
+                elif last[4] != x[4] or (last[7] is not None and not last[7].endswith((":", ","))):
+                    k += 1
+                last, want[x[:3]] = x, k
+                spans.setdefault(k, []).append(x)
+        known = lambda f, *v: f(y for y in v if y is not None) if any(y is not None for y in v) else None
+        ends = {k: (known(min, *(x[5] for x in xs)), known(max, *(x[5] + x[6] if x[5] is not None else None for x in xs))) for k, xs in spans.items()}
+        for x in mine:
+            if x[3] >= headers:
+                over = []
+                for k, (lo, hi) in ends.items():
+                    a, b = known(min, *((x[5] + x[6],) if x[5] is not None else ()), hi), known(max, x[5], lo)
+                    over.append((a is not None and b is not None, a - b if a is not None and b is not None else 0, -k))
+                want[x[:3]] = -max(over)[2] if over else x[4]
+    e = spark.createDataFrame(rows, "doc_id long, table_id int, elem_idx int, row int, col int, left double, width double, text string")
+    got = enrich.part_header_cells(e, headers)
+    assert got.columns == e.columns and {(x.doc_id, x.table_id, x.elem_idx): x.col for x in got.collect()} == want and got.count() == len(rows)
